@@ -14,7 +14,7 @@ import unicodedata
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -68,6 +68,19 @@ def _unstable() -> re.Pattern:
     return re.compile(f".?[{_ranges(bad)}]+", re.S)
 
 
+# Characters beyond ASCII that Azerbaijani and Turkish names have; all are stable.
+_COMMON = "çğıöşüəÇĞİÖŞÜƏ"
+
+
+def stable_col(c: Column | str) -> Column:
+    """Whether a text has only characters known to be stable, so that it is its own skeleton; null for null.
+
+    A short class of common characters is quick to test; texts with any other character count as not stable, which costs time only.
+    """
+    c = F.col(c) if isinstance(c, str) else c
+    return ~c.rlike(f"[^\\x00-\\x7f{_COMMON}]")
+
+
 def _canonical_segment(m: re.Match) -> str:
     s = _INVISIBLE.sub("", unicodedata.normalize("NFKD", m.group()))
     return unicodedata.normalize("NFC", s.translate(_LOOK))
@@ -131,11 +144,6 @@ def visual_keys(s: pd.Series) -> pd.Series:
     return _mapped(lambda v: _cached_key(v) if len(v) < 200 else visual_key(v), s)
 
 
-def plain_keys(s: pd.Series) -> pd.Series:
-    """Plain keys of a batch."""
-    return _mapped(plain_key, s)
-
-
 def tidies(s: pd.Series) -> pd.Series:
     """Tidy forms of a batch."""
     return _mapped(tidy, s)
@@ -149,13 +157,6 @@ def _visual_key_udf(s: pd.Series) -> pd.Series:
     return visual.visual_keys(s)
 
 
-@F.pandas_udf(StringType())
-def _plain_key_udf(s: pd.Series) -> pd.Series:
-    from loomgraph.functions import visual
-
-    return visual.plain_keys(s)
-
-
 @F.pandas_udf(StringType())
 def _tidy_udf(s: pd.Series) -> pd.Series:
     from loomgraph.functions import visual
@@ -168,9 +169,15 @@ def visual_key_col(c: Column | str) -> Column:
     return _visual_key_udf(c)
 
 
+def with_visual_key(df: DataFrame, c: str, out: str) -> DataFrame:
+    """``df`` with the visual key of column ``c``: stable texts get theirs inside the JVM, only the others go to Python."""
+    stable = F.coalesce(stable_col(c), F.lit(True))
+    return df.filter(stable).withColumn(out, letters_col(c)).unionByName(df.filter(~stable).withColumn(out, visual_key_col(c)))
+
+
 def plain_key_col(c: Column | str) -> Column:
-    """Column form of :func:`plain_key`; null stays null."""
-    return _plain_key_udf(c)
+    """Column form of :func:`plain_key`, inside the JVM; null stays null."""
+    return F.regexp_replace(fold_col(c), r"[ \t\r\n\p{P}\p{S}]+", "")
 
 
 def tidy_col(c: Column | str) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.functions import sqltext
-from loomgraph.functions.visual import visual_key_col
+from loomgraph.functions.visual import with_visual_key
 from loomgraph.operators import hierarchy as H
 from loomgraph.operators.orphans import orphans, parent_events, snapshots
 from loomgraph.operators.perkey import dominant_keys, per_key
@@ -70,12 +70,10 @@ def _endpoints(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _orphan_inputs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, list]:
-    ends = _endpoints(spark, d)
-    # the key of every distinct name once tells which keys are hot; at most 1/share of them
-    counts = ends.groupBy("name").agg(F.count(F.lit(1)).alias("n")).select(visual_key_col("name").alias("key"), "n").groupBy("key").agg(F.sum("n").alias("n"))
-    hot = hot_keys(counts, "key")
-    refs = ends.select(visual_key_col("name").alias("key"), "ts", "rel_id", "side")
-    reg = registry(spark, d).select(visual_key_col("name").alias("key"), "registered_at", "deleted_at")
+    # the keys are made once; they tell which are hot, at most 1/share of them
+    refs = materialize(with_visual_key(_endpoints(spark, d), "name", "key").select("key", "ts", "rel_id", "side"), "endpoints")
+    hot = hot_keys(refs.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "key")
+    reg = with_visual_key(registry(spark, d), "name", "key")
     return refs, parent_events(reg, "key", "registered_at", "deleted_at"), hot
 
 
