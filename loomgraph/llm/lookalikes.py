@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.functions.visual import plain_key_col, tidy_col, visual_key_col
+from loomgraph.functions.visual import plain_key_col, tidy_col, with_visual_key
 from loomgraph.operators.skew import hot_keys, split_join
 from loomgraph.session import materialize
 
@@ -14,7 +14,7 @@ HOT = 0.005
 
 
 def _keyed(df: DataFrame, name: str) -> DataFrame:
-    return df.select(name, visual_key_col(name).alias("key"), plain_key_col(name).alias("plain"))
+    return with_visual_key(df, name, "key").withColumn("plain", plain_key_col(name))
 
 
 def known_names(registry: DataFrame, name: str = "name") -> DataFrame:
@@ -33,7 +33,7 @@ def value_forms(values: DataFrame, registry: DataFrame, value: str = "value", na
     normalised once, however often it occurs. Empty tables give empty results.
     """
     forms = values.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    keyed = forms.select("value", "n", visual_key_col("value").alias("key"), plain_key_col("value").alias("plain"), tidy_col("value").alias("tidy"))
+    keyed = _keyed(forms, "value").withColumn("tidy", tidy_col("value"))
     known = known_names(registry, name)
     looks = known.groupBy("key").agg(F.min("known").alias("look"))
     both = keyed.join(looks, "key", "left").join(known, ["key", "plain"], "left")
