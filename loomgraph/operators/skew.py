@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: A key is hot from this share of all rows on, so there are at most 1/HOT_SHARE hot keys.
@@ -47,3 +47,16 @@ def spread(df: DataFrame, key: str, hot: list, n: int) -> DataFrame:
     if not hot:
         return df.withColumn("salt", F.lit(0))
     return df.withColumn("salt", F.explode(F.when(F.col(key).isin(hot), F.sequence(F.lit(0), F.lit(n - 1))).otherwise(F.array(F.lit(0)))))
+
+
+def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """``df`` with ``name`` 0, 1, .. in ``order``: ranges are sorted apart, their sizes give each its offset; no single task sees all rows."""
+    from loomgraph.session import materialize
+
+    s = df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id())
+    s = materialize(s, "ranges")
+    sizes = s.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.withColumn("_before", F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))).select("_p", F.coalesce("_before", F.lit(0)).alias("_before"))
+    local = s.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1)
+    # one row per range
+    return local.join(F.broadcast(before), "_p").withColumn(name, F.col("_before") + F.col("_i")).drop("_p", "_i", "_before")

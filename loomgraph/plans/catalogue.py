@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from loomgraph.plans import problems
+from loomgraph.plans import graph_queries, problems, search_queries, text_queries
 
-FLAGSHIP = "p3_found"
-QUERIES = {**problems.QUERIES}
-SQL = {**problems.SQL}
+FLAGSHIP = "vec_topk"
+_MODULES = [problems, text_queries, search_queries, graph_queries]
+QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
+SQL = {k: v for m in _MODULES for k, v in m.SQL.items()}
