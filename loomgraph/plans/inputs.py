@@ -16,12 +16,12 @@ from loomgraph.session import materialize, table
 def chunks(spark: SparkSession, d: str) -> DataFrame:
     """(``id``, ``ord``, ``text``, ``vec``): checkpoint rows as last written, vectors at unit length."""
     c = last_wins(table(spark, d, "embeddings_checkpoint").select("id", "ord", "text", "embedding"), "id", "ord")
-    return c.select("id", "ord", "text", E.normalised(F.col("embedding")).alias("vec"))
+    return E.with_unit(c, "embedding", "vec").drop("embedding")
 
 
 def items(spark: SparkSession, d: str) -> DataFrame:
     """(``query_id``, ``query_text``, ``query_vec``): the evaluation questions as queries."""
-    return table(spark, d, "gruth_dataset").select(F.col("id").alias("query_id"), F.col("question").alias("query_text"), E.embed("question").alias("query_vec"))
+    return E.with_embedding(table(spark, d, "gruth_dataset").select(F.col("id").alias("query_id"), F.col("question").alias("query_text")), "query_text", "query_vec")
 
 
 def mentions(spark: SparkSession, d: str) -> DataFrame:
@@ -37,11 +37,11 @@ def relations(spark: SparkSession, d: str) -> DataFrame:
 def graph(spark: SparkSession, d: str, variant: str = "community") -> tuple[DataFrame, DataFrame]:
     """Nodes and edges with their vectors."""
     nodes = G.resolve_entities(mentions(spark, d), variant)
-    nodes = materialize(nodes.withColumn("vec", E.embed(entity_text(F.col("name"), F.coalesce("type", F.lit("")), F.col("description")))), "nodes")
+    nodes = materialize(E.with_embedding(nodes, entity_text(F.col("name"), F.coalesce("type", F.lit("")), F.col("description"))), "nodes")
     edges = G.aggregate_edges(relations(spark, d), nodes, variant)
     names = nodes.select("key", "name")
     named = edges.join(names.withColumnsRenamed({"key": "src", "name": "_s"}), "src").join(names.withColumnsRenamed({"key": "tgt", "name": "_t"}), "tgt")
-    return nodes, materialize(named.withColumn("vec", E.embed(edge_text(F.col("_s"), F.col("_t"), F.col("description")))).drop("_s", "_t"), "edges")
+    return nodes, materialize(E.with_embedding(named, edge_text(F.col("_s"), F.col("_t"), F.col("description"))).drop("_s", "_t"), "edges")
 
 
 def communities(spark: SparkSession, d: str) -> DataFrame:
@@ -68,7 +68,7 @@ def reports(spark: SparkSession, d: str, nodes: DataFrame, edges: DataFrame) ->
     )
     size = m.groupBy("community").agg(F.count(F.lit(1)).alias("size"), F.array_sort(F.collect_list("key")).alias("entity_keys"))
     out = per.join(size, "community").join(community_articles(m, nodes), "community", "left")
-    return out.withColumn("articles", F.coalesce("articles", F.array().cast("array<string>"))).withColumn("vec", E.embed(report_text(F.col("title"), F.col("summary"))))
+    return E.with_embedding(out.withColumn("articles", F.coalesce("articles", F.array().cast("array<string>"))), report_text(F.col("title"), F.col("summary")))
 
 
 def sql_lower(x: str) -> str:

@@ -12,7 +12,7 @@ from loomgraph.session import table
 
 
 def _vectors(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "embeddings").select("vec_id", "label", E.normalised(F.col("embedding")).alias("vec"))
+    return E.with_unit(table(spark, d, "embeddings").select("vec_id", "label", "embedding"), "embedding", "vec").drop("embedding")
 
 
 def vec_norms(spark: SparkSession, d: str) -> DataFrame:
