@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions.textops import summary_hash, token_estimate, vector_key
+from loomgraph.operators.skew import numbered
 
 
 def pending(items: DataFrame, done: DataFrame, key: str = "id") -> DataFrame:
@@ -55,7 +56,9 @@ def summaries_due(items: DataFrame, cache: DataFrame, most: int = 20, sep: str =
 
 def batches(df: DataFrame, order: list[str], size: int, by: list[str] = ()) -> DataFrame:
     """``df`` with ``batch``: fixed-size runs in ``order`` within ``by``."""
-    w = Window.partitionBy(*by).orderBy(*order) if by else Window.orderBy(*order)
+    if not by:  # numbered by ranges, so that no task sees all rows
+        return numbered(df, order, "_i").withColumn("batch", F.floor(F.col("_i") / size).cast("bigint")).drop("_i")
+    w = Window.partitionBy(*by).orderBy(*order)
     return df.withColumn("batch", F.floor((F.row_number().over(w) - 1) / size).cast("bigint"))
 
 
