@@ -30,6 +30,8 @@ BYTE_PAIRS = (
 )
 #: Cost of a change of state, in nats.
 SWITCH = 7.0
+#: More for a change between two characters of a word.
+INSIDE = 3.0
 #: Times that a text may go through the model.
 ROUNDS = 3
 
@@ -41,6 +43,7 @@ _SIGNS = "«»“”„‘’–—…№• "
 _HATS = "âîû"
 
 _FFFD = 0xFFFD
+_BLANKS = np.array([9, 10, 13, 32])
 
 
 def _chars(enc: str) -> list[str]:
@@ -73,8 +76,10 @@ class _Tables:
         for c in range(0xA1, 0x100):
             if clean[c] < -8:
                 clean[c] = -8.0 if c >= 0xC0 else -7.0
-        for c in _HATS:
+        for c in _HATS + "€™":
             clean[ord(c)] = -6.0
+        for c in "ÞÐð":  # letters of names in other languages, too
+            clean[ord(c)] = -6.5
         for c, w in _RU.items():
             clean[ord(c)] = clean[ord(c.upper())] = np.log(w / 1000.0)
             upper[ord(c)], upper[ord(c.upper())] = 1, 2
@@ -237,44 +242,46 @@ def _worth(rows: list[np.ndarray], switch: float) -> list[int]:
     return sorted(kept)
 
 
-def _two(sums: list[list[float]], switch: float) -> np.ndarray:
-    """The same for two states: only the lead of the garbled one counts."""
+def _two(sums: list[list[float]], costs: list[float], switch: float) -> np.ndarray:
+    """The best path of two states: only the lead of the garbled one counts."""
     lead, from_clean, from_other = -switch, [], []
-    for clean, other in sums:
-        up, down = lead < -switch, lead > switch
+    for (clean, other), cost in zip(sums, costs):
+        up, down = lead < -cost, lead > cost
         from_clean.append(down)  # the clean state comes from the other one
         from_other.append(up)
-        lead = (-switch if up else switch if down else lead) + other - clean
-    s = lead > 0
+        lead = (-cost if up else cost if down else lead) + other - clean
+    s = lead > switch  # the end of the text is a change back
     path = np.empty(len(sums), np.int64)
     for i in range(len(sums) - 1, -1, -1):
         path[i] = s
-        if s:
-            s = not from_other[i]
-        else:
-            s = from_clean[i]
+        s = not from_other[i] if s else from_clean[i]
     return path
 
 
-def _viterbi(rows: list[np.ndarray], switch: float) -> np.ndarray:
-    """Best state per column; row 0 is the clean state, from which texts begin."""
+def _viterbi(rows: list[np.ndarray], inside: np.ndarray, switch: float) -> np.ndarray:
+    """Best state per column; row 0 is the clean state, in which texts begin and end. ``inside``: the column goes on a word."""
     e = np.stack(rows)
     k, n = e.shape
-    # a path has no reason to change its state inside a run in which the order of the states' emissions stays the same
-    best = e.argmax(0)
-    order = best * 2 + (e[0] >= e.max(0) - 1e-6) if k == 2 else best
-    starts = np.flatnonzero(np.concatenate(([True], order[1:] != order[:-1]))) if k == 2 else np.flatnonzero(np.concatenate(([True], (np.diff(np.argsort(e, axis=0, kind="stable"), axis=1) != 0).any(0))))
+    # a path has no reason to change its state inside a run in which the order of the states' emissions and the cost stay the same
+    if k == 2:
+        order = e.argmax(0) * 2 + (e[0] == e[1])
+        differs = order[1:] != order[:-1]
+    else:
+        differs = (np.diff(np.argsort(e, axis=0, kind="stable"), axis=1) != 0).any(0)
+    starts = np.flatnonzero(np.concatenate(([True], differs | (~inside[1:] & inside[:-1]))))
     sums = np.add.reduceat(e.astype(np.float64), starts, axis=1).T.tolist()
+    costs = (switch + INSIDE * inside[starts]).tolist()
     if k == 2:
-        return np.repeat(_two(sums, switch), np.diff(np.append(starts, n)))
+        return np.repeat(_two(sums, costs, switch), np.diff(np.append(starts, n)))
     v = [0.0] + [-switch] * (k - 1)
     back: list[list[int]] = []
     states = range(k)
-    for col in sums:
+    for col, cost in zip(sums, costs):
         top = max(v)
-        at, jump = v.index(top), top - switch
+        at, jump = v.index(top), top - cost
         back.append([s if v[s] >= jump else at for s in states])
         v = [(x if x >= jump else jump) + c for x, c in zip(v, col)]
+    v = [v[0], *(x - switch for x in v[1:])]  # the end of the text is a change back
     s = v.index(max(v))
     path = [0] * len(sums)
     for i in range(len(sums) - 1, -1, -1):
@@ -303,7 +310,9 @@ def spans(text: str, switch: float = SWITCH) -> list[tuple[int, int, int]]:
     if not worth:
         return []
     states = [states[i - 1] for i in worth]
-    path = _viterbi([rows[0], *(rows[i] for i in worth)], switch)
+    word = ~np.isin(cp, _BLANKS)
+    inside = np.concatenate(([False], word[1:] & word[:-1]))
+    path = _viterbi([rows[0], *(rows[i] for i in worth)], inside, switch)
     out = []
     edges = np.flatnonzero(np.diff(path)) + 1
     for a, b in zip(np.append(0, edges), np.append(edges, len(path))):
