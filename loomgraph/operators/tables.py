@@ -57,7 +57,7 @@ def summaries_due(items: DataFrame, cache: DataFrame, most: int = 20, sep: str =
 def batches(df: DataFrame, order: list[str], size: int, by: list[str] = ()) -> DataFrame:
     """``df`` with ``batch``: fixed-size runs in ``order`` within ``by``."""
     if not by:  # numbered by ranges, so that no task sees all rows
-        return numbered(df, order, "_i").withColumn("batch", F.floor(F.col("_i") / size).cast("bigint")).drop("_i")
+        return numbered(df, order, "_number").withColumn("batch", F.floor(F.col("_number") / size).cast("bigint")).drop("_number")
     w = Window.partitionBy(*by).orderBy(*order)
     return df.withColumn("batch", F.floor((F.row_number().over(w) - 1) / size).cast("bigint"))
 
