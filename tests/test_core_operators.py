@@ -131,3 +131,52 @@ def test_louvain_distributed_and_local(spark):
         assert {"alone"} in top
         if finish == M.FINISH:
             assert {f"a{i}" for i in range(8)} in top and {f"c{i}" for i in range(8)} in top
+
+
+def _planted(seed, groups=4, size=8, inside=0.4, across=20):
+    r = random.Random(seed)
+    e = {(f"g{g}n{j:02}", f"g{g}n{i:02}"): r.randrange(1, 6) for g in range(groups) for i in range(size) for j in range(i) if r.random() < inside}
+    for _ in range(across):
+        a, b = sorted((f"g{r.randrange(groups)}n{r.randrange(size):02}", f"g{r.randrange(groups)}n{r.randrange(size):02}"))
+        if a != b:
+            e[a, b] = 1
+    return [(u, v, float(w)) for (u, v), w in e.items()]
+
+
+def _modularity(pairs, label):
+    m, k, inside = sum(w for *_, w in pairs), Counter(), 0.0
+    for u, v, w in pairs:
+        k[label[u]] += w
+        k[label[v]] += w
+        inside += w * (label[u] == label[v])
+    return inside / m - sum(x * x for x in k.values()) / (4 * m * m)
+
+
+def test_distributed_moving_leaves_no_gain(spark):
+    pairs = _planted(4)
+    edges = spark.createDataFrame([("p", *x) for x in pairs], "parent string, u string, v string, w double")
+    nodes = spark.createDataFrame([("p", k) for k in sorted({k for u, v, _ in pairs for k in (u, v)})] + [("p", "alone"), ("q", "other")], "parent string, key string")
+    q = []
+    for finish in (M.FINISH, 0):
+        part = {(x.parent, x.key): x.part for x in M.partition(nodes, edges, finish).collect()}
+        assert len(part) == nodes.count() and part["p", "alone"] == "alone" and part["q", "other"] == "other"
+        label = {k: c for (p, k), c in part.items() if p == "p"}
+        q.append(_modularity(pairs, label))
+    assert abs(q[0] - q[1]) < 0.02, q
+    com = {x.key: x.com for x in M._move(edges).collect()}
+    at = _modularity(pairs, com)
+    near = defaultdict(set)
+    for u, v, _ in pairs:
+        near[u].add(com[v])
+        near[v].add(com[u])
+    assert max(_modularity(pairs, {**com, x: c}) for x in com for c in near[x]) <= at + 1e-12
+
+
+def test_large_and_small_parents_give_the_same_communities(spark):
+    pairs = [(f"{c}{i}", f"{c}{j}", 5.0) for c in "abcd" for i in range(8) for j in range(i)] + [("a0", "b0", 1.0), ("b1", "c1", 1.0), ("c2", "d2", 1.0)]
+    rows = [("", min(u, v), max(u, v), w) for u, v, w in pairs] + [("small", "x", "y", 1.0)]
+    edges = spark.createDataFrame(rows, "parent string, u string, v string, w double")
+    nodes = spark.createDataFrame(sorted({(p, k) for p, u, v, _ in rows for k in (u, v)}), "parent string, key string")
+    got = [sorted(tuple(x) for x in M.partition(nodes, edges, finish).collect()) for finish in (M.FINISH, 100, 0)]
+    assert got[0] == got[1] == got[2]
+    assert {p for _, _, p in got[0]} == {"a0", "b0", "c0", "d0", "x"}
