@@ -5,7 +5,7 @@ state of one encoding pair (how the text was written, how it was read). A state'
 the probability of the character that its inverse transform gives at this place: a state of
 UTF-8 read as a one-byte encoding explains whole byte sequences, one of two one-byte
 encodings explains letters. Changing the state costs, so a lone symbol that would also be a valid byte sequence stays
-as it is. Every labelled span gets its state's inverse transform; texts
+as it is, unless it stands for a letter or sign of the languages where no clean text has it (``mÉ™ktub``): that alone pays for the change. Every labelled span gets its state's inverse transform; texts
 garbled more than once go through the model again.
 """
 
@@ -32,6 +32,8 @@ BYTE_PAIRS = (
 SWITCH = 7.0
 #: More for a change between two characters of a word.
 INSIDE = 3.0
+#: What a sequence that no clean text has at its place is worth: more than the changes to its state and back inside a word.
+ALONE = 11.0
 #: Times that a text may go through the model.
 ROUNDS = 3
 
@@ -97,6 +99,17 @@ class _Tables:
         for c in _chars("cp1252")[0x80:]:
             fits[ord(c)] = True
         self.fits = fits
+        alone = np.zeros(n, bool)
+        alone[0x410:0x450] = True
+        for c in _LATIN + _HATS + "ёЁ№€™“”„‘’–—…•":
+            alone[ord(c)] = True
+        self.alone = alone
+        every = [chr(c) if not 0xD800 <= c < 0xE000 else " " for c in range(n)]
+        self.small = np.array([c.islower() and c not in "ªº" for c in every])
+        self.capital = np.array([c.isupper() for c in every])
+        self.letter = np.array([c.isalpha() and c not in "ªº" for c in every])
+        self.box = np.zeros(n, bool)
+        self.box[0x2500:0x2600] = True
 
 
 @lru_cache(1)
@@ -130,6 +143,12 @@ class _Utf8:
             for b in range(0x80, 0xA0):  # the control characters were kept where the encoding has none
                 if self.byte[b] < 0:
                     self.byte[b] = b
+        t = _tables()
+        # second characters that go on no word and are no everyday sign; koi8-r has everyday signs only, but for its box drawing
+        odd = t.box.copy() if enc == "koi8-r" else ~t.letter
+        for c in _SIGNS + "Ÿ":
+            odd[ord(c)] = c == "Ÿ"
+        self.odd = odd
         cls = lambda lo, hi: "[" + "".join(re.escape(c) for c in {chr(c) for c in np.flatnonzero((self.byte >= lo) & (self.byte <= hi))}) + "]"
         self.hint = re.compile(f"{cls(0xC2, 0xDF)}{cls(0x80, 0xBF)}|{cls(0xE2, 0xE2)}{cls(0x80, 0xBF)}{cls(0x80, 0xBF)}")
 
@@ -148,6 +167,21 @@ class _Utf8:
         ok = _tables().fits[val]
         return two & ok, three & ok, val
 
+    def _alone(self, cp: np.ndarray, two: np.ndarray, three: np.ndarray, val: np.ndarray) -> np.ndarray:
+        """Starts of sequences that no clean text has at their place."""
+        t = _tables()
+        at = np.flatnonzero((two | three) & t.alone[val])
+        out = np.zeros(len(cp), bool)
+        if len(at):
+            pad = np.concatenate(([32], cp, [32, 32, 32]))
+            first, second, after, before = cp[at], pad[at + 2], pad[at + 3], pad[at]
+            touches = t.small[before] | t.small[after]
+            within = t.small[before] & t.small[after]
+            word = touches & (t.box[first] | self.odd[second]) | within & ~t.letter[first]
+            signs = three[at] & ~(t.letter[first] & t.letter[second] & t.letter[pad[at + 3]])
+            out[at] = ~t.capital[before] & np.where(three[at], signs, word)
+        return out
+
     def emission(self, cp: np.ndarray) -> np.ndarray:
         t = _tables()
         two, three, val = self._sequences(cp)
@@ -161,6 +195,7 @@ class _Utf8:
         i = np.flatnonzero(three)
         e[i + 1] = 0.0
         e[i + 2] = 0.0
+        e[self._alone(cp, two, three, val)] += ALONE
         return e
 
     def restore(self, cp: np.ndarray) -> str:

@@ -217,3 +217,17 @@ def test_repair_rows(spark):
     assert [(g[0], g[2], g[3]) for g in got] == [(1, False, 0), (2, True, 0), (2, True, 0), (3, False, 0), (4, False, 0), (5, True, 1), (6, True, 0)]
     assert got[1][1] == CLEAN["az"] and got[3][1] is None and got[6][1].endswith(CLEAN["az"])
     assert encoding.garbled(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+@pytest.mark.parametrize("read", ["cp1252", "latin-1", "cp1250", "cp1251", "cp1254"])
+@pytest.mark.parametrize("text,part", [("Maddə 3.", "ə"), (CLEAN["az"] + " məktub " + CLEAN["az"], " məktub "), ("kitab için yazılan", "ç"), ("bir gün sonra", "ü"), ("ərzində göndərilir", "ö"), ("uzun ışıq", "ı"), ("the words go on — far from capitals", "—"), ("the clerk’s office", "’")])
+def test_one_garbled_sequence_comes_back(read, text, part):
+    at = text.index(part)
+    bad = "".join(encoding._chars(read)[b] for b in part.encode())
+    new, pairs = encoding.restore(text[:at] + bad + text[at + len(part) :])
+    assert new == text and pairs
+
+
+@pytest.mark.parametrize("text", ["«Р» и «С» стоят рядом", "CAFÉ™ is a mark", "Nestlé™, Pokémon® É", "ÉCOLE É™", "5 Ä° and Ã", "статАФК", "Alors…ô mon ami", "группа© 2020, 5 см² и 20°"])
+def test_clean_signs_after_letters_stay(text):
+    assert encoding.restore(text) == (text, [])
