@@ -38,7 +38,7 @@ def cache_misses(spark: SparkSession, d: str) -> DataFrame:
 
 
 def cache_pruned(spark: SparkSession, d: str) -> DataFrame:
-    """Keys of that cache that documents with number 1 to 5 in their name of source still need."""
+    """Keys of that cache that documents with ``lang`` exactly az still need."""
     return T.cache_pruned(_cache(spark, d), table(spark, d, "documents").filter("lang = 'az'"))
 
 
