@@ -36,13 +36,13 @@ def p3_per_name(spark: SparkSession, d: str) -> DataFrame:
     return both.groupBy(F.col("key").alias("name")).agg(F.sum("mentions").alias("mentions"), F.sum("relations").alias("relations"), F.sum("strength").cast("bigint").alias("strength_total"))
 
 
-def _hierarchy(spark: SparkSession, d: str) -> DataFrame:
-    return H.hierarchy(H.current_rows(table(spark, d, "communities").select("id", "ord", "parent")))
+def _hierarchy(spark: SparkSession, d: str, paths: bool = True) -> DataFrame:
+    return H.hierarchy(H.current_rows(table(spark, d, "communities").select("id", "ord", "parent")), paths=paths)
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """(``id``): communities that lie on a circle of parent links by their current rows."""
-    return _hierarchy(spark, d).filter("kind = 'circle'").select(F.col("id").cast("int").alias("id"))
+    return _hierarchy(spark, d, paths=False).filter("kind = 'circle'").select(F.col("id").cast("int").alias("id"))
 
 
 def p4_hierarchy(spark: SparkSession, d: str) -> DataFrame:

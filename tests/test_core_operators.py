@@ -4,6 +4,8 @@ import random
 from collections import Counter, defaultdict
 from datetime import datetime, timedelta
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from loomgraph.operators import community as M
@@ -59,7 +61,7 @@ def _walk(par):
 
 
 def test_hierarchy_in_fragments(spark):
-    for seed, n, frag in ((1, 150, 12), (2, 80, 1000), (3, 60, 5)):
+    for seed, n, frag in ((1, 150, 40), (2, 80, 1000), (3, 60, 15)):
         r = random.Random(seed)
         par = {i: None if (u := r.random()) < 0.05 else n + 5 if u < 0.08 else r.randrange(n) if u < 0.3 else max(0, i - r.randrange(1, 4)) if i else None for i in range(n)}
         df = spark.createDataFrame([(i, p, "x") for i, p in par.items()] + [(None, 1, "x")], "id int, parent int, path string")
@@ -75,9 +77,41 @@ def test_hierarchy_in_fragments(spark):
         for x in H.descendants(h).collect():
             found[x.id].add(x.descendant)
         assert found == under
+        bare = {x.id: (x.path, x.depth, x.root, x.kind, x.circle) for x in H.hierarchy(df, fragment=frag, paths=False).collect()}
+        assert bare == {v: (None, *w[1:]) for v, w in want.items()}
     assert H.hierarchy(df.limit(0)).count() == 0
 
 
+def _forest(shape, n, r):
+    if shape == "chain":
+        order = list(range(n))
+        r.shuffle(order)
+        return {a: b for a, b in zip(order, [None, *order])}
+    if shape == "star of chains":
+        return {i: None if not i else i - 4 if i > 4 and i % 1000 else 0 for i in range(n)}
+    return {i: i - r.randrange(1, 6) if i > 5 else None for i in range(n)}
+
+
+@pytest.mark.parametrize("shape,n", [("chain", 200_000), ("star of chains", 6_000)])
+def test_no_task_holds_more_than_a_fragment(spark, monkeypatch, shape, n):
+    fragment, held, levels = n // 6, [], []
+
+    def watched(links, size, most, level, parted=H.parted):
+        out = parted(links, size, most, level)
+        levels.append(size)
+        held.append(max(x["count"] for x in out.groupBy(F.spark_partition_id()).count().collect()))
+        return out
+
+    monkeypatch.setattr(H, "parted", watched)
+    par = _forest(shape, n, random.Random(7))
+    got = H.hierarchy(spark.createDataFrame(list(par.items()), "id long, parent long"), fragment=fragment, paths=False)
+    depth = {x.id: x.depth for x in got.collect()}
+    roots = [v for v, p in par.items() if p is None]
+    assert all(depth[v] == (0 if p is None else depth[p] + 1) for v, p in par.items()) and all(depth[v] == 0 for v in roots)
+    assert max(held) <= fragment, held
+    assert all(b <= 0.5 * a for a, b in zip(levels, levels[1:])), levels
+
+
 def test_current_rows(spark):
     df = spark.createDataFrame([(1, 5, 2), (1, 9, None), (None, 1, 1), (2, 3, 1)], "id int, ord int, parent int")
     assert {(x.id, x.parent) for x in H.current_rows(df).collect()} == {(1, None), (2, 1)}
