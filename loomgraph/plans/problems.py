@@ -30,10 +30,10 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 def p3_per_name(spark: SparkSession, d: str) -> DataFrame:
     """Per name as stored, null included: mentions as an entity, outgoing relations and the sum of their strengths."""
     e, r = _totals(spark, d)
-    both = e.select("key", F.col("n").alias("mentions"), F.lit(0).cast("bigint").alias("relations"), F.lit(0.0).alias("strength")).unionByName(
+    both = e.select("key", F.col("n").alias("mentions"), F.lit(0).cast("bigint").alias("relations"), F.lit(0).cast("bigint").alias("strength")).unionByName(
         r.select("key", F.lit(0).cast("bigint").alias("mentions"), F.col("n").alias("relations"), F.col("sum_strength").alias("strength"))
     )
-    return both.groupBy(F.col("key").alias("name")).agg(F.sum("mentions").alias("mentions"), F.sum("relations").alias("relations"), F.sum("strength").cast("bigint").alias("strength_total"))
+    return both.groupBy(F.col("key").alias("name")).agg(F.sum("mentions").alias("mentions"), F.sum("relations").alias("relations"), F.sum("strength").alias("strength_total"))
 
 
 def _hierarchy(spark: SparkSession, d: str, paths: bool = True) -> DataFrame:

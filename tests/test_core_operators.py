@@ -21,11 +21,13 @@ def test_per_key(spark, monkeypatch):
     rows = [(r.choice(["hot"] * 20 + [None, "", "y" * 3000] + list("abcdefghijkl")), r.choice([None, 1, 2, 3]), "x") for _ in range(2000)]
     df = spark.createDataFrame(rows, "name string, strength int, n string").repartition(5)
     got = {x.key: (x.n, x.n_strength, x.sum_strength) for x in perkey.per_key(df, "name", ["strength"]).collect()}
-    want = {k: (sum(1 for a in rows if a[0] == k), sum(1 for a in rows if a[0] == k and a[1] is not None), float(sum(a[1] or 0 for a in rows if a[0] == k))) for k in {a[0] for a in rows}}
+    want = {k: (sum(1 for a in rows if a[0] == k), sum(1 for a in rows if a[0] == k and a[1] is not None), sum(a[1] or 0 for a in rows if a[0] == k)) for k in {a[0] for a in rows}}
     assert got == want
     big = {x.key for x in perkey.dominant_keys(perkey.per_key(df, "name"), 0.2).collect()}
     assert big == {k for k, v in want.items() if k is not None and v[0] >= 400}
     assert perkey.per_key(df.limit(0), "name", ["strength"]).count() == 0
+    big = spark.createDataFrame([("a", 2**60 + i, 0.5) for i in range(4)] + [("a", -(2**59) + 1, None)], "k string, i long, x double")
+    assert [tuple(x) for x in perkey.per_key(big, "k", ["i", "x"]).collect()] == [("a", 5, 5, 4 * 2**60 + 6 - 2**59 + 1, 4, 2.0)]
 
 
 def test_split_join_keeps_all_rows(spark):
