@@ -170,9 +170,9 @@ def visual_key_col(c: Column | str) -> Column:
 
 
 def with_visual_key(df: DataFrame, c: str, out: str) -> DataFrame:
-    """``df`` with the visual key of column ``c``: stable texts get theirs inside the JVM, only the others go to Python."""
-    stable = F.coalesce(stable_col(c), F.lit(True))
-    return df.filter(stable).withColumn(out, letters_col(c)).unionByName(df.filter(~stable).withColumn(out, visual_key_col(c)))
+    """``df`` with the visual key of column ``c``: stable texts get theirs inside the JVM, only the others go to Python. Use it on distinct names."""
+    marked = df.withColumn("_stable", F.coalesce(stable_col(c), F.lit(True)))
+    return marked.withColumn(out, F.when(F.col("_stable"), letters_col(c)).otherwise(visual_key_col(F.when(~F.col("_stable"), F.col(c))))).drop("_stable")
 
 
 def plain_key_col(c: Column | str) -> Column:

@@ -4,17 +4,18 @@ Registrations, deletions and references of one key form a timeline. The state
 of a key is the number of live parents and the references that wait for one.
 A reference probes that state: it is an orphan if no parent is live. An arriving
 parent resolves what waits, the deletion of the last one reopens it. The fold over
-the timeline is a running sum per key, sorted and spilled by Spark, so a key of
+the timeline of an epoch is a running sum per key, sorted and spilled by Spark, so a key of
 any size needs constant memory; hot keys are salted, their few parent
-events repeated per salt. ``advance`` carries the state from epoch to epoch.
+events repeated per salt. ``advance`` carries the state from epoch to epoch, ``replay`` does so over a whole history.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.operators.skew import salt, spread
+from loomgraph.session import materialize
 
 #: Salts per hot key.
 SALTS = 64
@@ -61,41 +62,67 @@ def orphans(refs: DataFrame, events: DataFrame, ref_cols: list[str], hot: list =
     return found.unionByName(never)
 
 
-def advance(live: DataFrame | None, counts: DataFrame | None, refs: DataFrame, events: DataFrame, by: list[str], ref_cols: list[str], hot: list = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """One epoch of the incremental state: (live, counts, orphans found in the epoch).
+def advance(live: DataFrame | None, pending: DataFrame | None, refs: DataFrame, events: DataFrame, by: list[str], ref_cols: list[str], hot: list = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One epoch of the incremental state: (live, pending, orphans found in the epoch).
 
-    ``live`` (``key``, ``live``) and ``counts`` (``key``, ``by``, ``month``, ``n``: references so far) are those of the epoch before,
-    None at first; ``events`` and ``refs`` are those of this epoch, none of which may be older than the epoch
-    before. Both tables grow with keys, not with references. :func:`waiting` reads them.
+    ``live`` (``key``, ``live``) and ``pending`` (``key``, ``by``, ``month``, ``n``, ``open``) are those of the epoch before, None at first;
+    ``events`` and ``refs`` are those of this epoch, none of which may be older than the epoch before. References probe the
+    live parents, those without one are added to ``pending``; parents that arrived close what waits for them, the deletion of the last one
+    opens it again. Both tables grow with keys and months, not with references.
     """
     found = orphans(refs, events, ref_cols, hot, live)
     now = events.select("key", F.col("delta").cast("bigint").alias("live"))
-    new = refs.groupBy("key", *by, F.date_trunc("month", "ts").alias("month")).agg(F.count(F.lit(1)).alias("n"))
+    new = found.groupBy("key", *by, F.date_trunc("month", "ts").alias("month")).agg(F.count(F.lit(1)).alias("n"))
     if live is not None:
-        now, new = now.unionByName(live), new.unionByName(counts)
-    return now.groupBy("key").agg(F.sum("live").alias("live")), new.groupBy("key", *by, "month").agg(F.sum("n").alias("n")), found
+        now, new = now.unionByName(live), new.unionByName(pending.drop("open"))
+    now = now.groupBy("key").agg(F.sum("live").alias("live"))
+    new = new.groupBy("key", *by, "month").agg(F.sum("n").alias("n"))
+    new = new.join(now.filter("live > 0"), "key", "left").select("key", *by, "month", "n", F.col("live").isNull().alias("open"))
+    return now, new, found
 
 
-def waiting(live: DataFrame, counts: DataFrame, by: list[str]) -> DataFrame:
-    """References that wait for a parent now, per ``by`` and month they were made in: resolved ones are out, reopened ones in."""
-    return counts.join(live.filter("live > 0").select("key"), "key", "left_anti").groupBy(*by, "month").agg(F.sum("n").alias("n_waiting"))
+def waiting(pending: DataFrame, by: list[str]) -> DataFrame:
+    """Orphans per ``by`` and month they were made in: all so far, and those that wait for a parent now; resolved ones are out, reopened ones in."""
+    return pending.groupBy(*by, "month").agg(F.sum("n").alias("n_orphans"), F.sum(F.when(F.col("open"), F.col("n")).otherwise(0)).alias("n_waiting"))
 
 
-def snapshots(refs: DataFrame, events: DataFrame, by: list[str], hot: list = ()) -> DataFrame:
-    """Per ``by`` columns and month of ``ts``: references, those that were orphans when made, and those never given a parent later.
+def epoch_of(ts: Column, bounds: list) -> Column:
+    """Number of the epoch of a moment: how many of the ascending ``bounds`` are not after it; 0 for null."""
+    return F.coalesce(F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= ts)), F.lit(0)) if bounds else F.lit(0)
 
-    Columns: ``by``, ``month`` (timestamp, null for references without ``ts``), ``n_refs``, ``n_orphans``, ``n_unresolved``. A later parent
-    resolves an orphan for good here, whatever is deleted afterwards.
+
+def even_bounds(refs: DataFrame, epochs: int, ts: str = "ts") -> list:
+    """Moments that cut the time of ``refs`` into equal epochs; none where no moment is known."""
+    lo, hi = refs.agg(F.min(ts), F.max(ts)).first()
+    return [lo + (hi - lo) * i / epochs for i in range(1, epochs)] if lo else []
+
+
+def replay(refs: DataFrame, events: DataFrame, by: list[str], ref_cols: list[str], bounds: list, hot: list = ()) -> tuple[DataFrame, DataFrame]:
+    """(orphans, pending) after all epochs that ``bounds`` cut: :func:`advance` from one to the next with the state written in between.
+
+    References are written once, apart by epoch, and every epoch reads its own. The result is the same for all ``bounds``.
+    """
+    refs = materialize(refs.withColumn("_epoch", epoch_of(F.col("ts"), bounds)), "references", ("_epoch",))
+    events = materialize(events.withColumn("_epoch", epoch_of(F.col("ts"), bounds)), "events", ("_epoch",))
+    live = pending = found = None
+    for i in range(len(bounds) + 1):
+        at = F.col("_epoch") == i
+        live, pending, new = advance(live, pending, refs.filter(at).drop("_epoch"), events.filter(at).drop("_epoch"), by, ref_cols, hot)
+        if i < len(bounds):
+            live, pending = materialize(live, "live"), materialize(pending, "pending")
+        found = new if found is None else found.unionByName(new)
+    return found, pending
+
+
+def snapshot(refs: DataFrame, pending: DataFrame, by: list[str]) -> DataFrame:
+    """Per ``by`` columns and month of ``ts``: references, those that were orphans when made, and those of them that still wait or wait again.
+
+    Columns: ``by``, ``month`` (timestamp, null for references without ``ts``), ``n_refs``, ``n_orphans``, ``n_unresolved``.
     """
-    cols = [*by, "_id"]
-    refs = refs.withColumn("_id", F.xxhash64(*by, "key", "ts"))
     first = refs.groupBy(*by, F.date_trunc("month", "ts").alias("month")).agg(F.count(F.lit(1)).alias("n_refs"))
-    found = orphans(refs, events, cols, hot)
-    last = events.filter("delta > 0").groupBy("key").agg(F.max("ts").alias("_last"))
-    o = found.groupBy("key", *by, "ts").agg(F.count(F.lit(1)).alias("n")).join(last, "key", "left")
-    o = o.groupBy(*by, F.date_trunc("month", "ts").alias("month")).agg(F.sum("n").alias("n_orphans"), F.sum(F.when(F.col("_last").isNull() | (F.col("_last") <= F.col("ts")), F.col("n")).otherwise(0)).alias("n_unresolved"))
     on = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in [*by, "month"]]
+    none = F.lit(0).cast("bigint")
     return (
-        first.alias("a").join(o.alias("b"), on, "left")
-        .select(*[F.col(f"a.{c}").alias(c) for c in [*by, "month"]], "n_refs", F.coalesce("n_orphans", F.lit(0)).alias("n_orphans"), F.coalesce("n_unresolved", F.lit(0)).alias("n_unresolved"))
+        first.alias("a").join(waiting(pending, by).alias("b"), on, "left")
+        .select(*[F.col(f"a.{c}").alias(c) for c in [*by, "month"]], "n_refs", F.coalesce("n_orphans", none).alias("n_orphans"), F.coalesce("n_waiting", none).alias("n_unresolved"))
     )

@@ -8,13 +8,15 @@ from pyspark.sql import functions as F
 from loomgraph.functions import sqltext
 from loomgraph.functions.visual import with_visual_key
 from loomgraph.operators import hierarchy as H
-from loomgraph.operators.orphans import orphans, parent_events, snapshots
+from loomgraph.operators.orphans import even_bounds, parent_events, replay, snapshot
 from loomgraph.operators.perkey import dominant_keys, per_key
-from loomgraph.operators.skew import hot_keys
+from loomgraph.operators.skew import hot_keys, split_join
 from loomgraph.session import materialize, table
 
 #: p3_found: share of the rows of a table from which on a key is reported.
 SHARE = 0.02
+#: p5: epochs that the history is replayed in.
+EPOCHS = 5
 
 
 def _totals(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -69,24 +71,25 @@ def _endpoints(spark: SparkSession, d: str) -> DataFrame:
     return ends.filter(F.col("name").rlike(r"[^\s\p{Z}]"))
 
 
-def _orphan_inputs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, list]:
-    # the keys are made once; they tell which are hot, at most 1/share of them
-    refs = materialize(with_visual_key(_endpoints(spark, d), "name", "key").select("key", "ts", "rel_id", "side"), "endpoints")
-    hot = hot_keys(refs.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "key")
-    reg = with_visual_key(registry(spark, d), "name", "key")
-    return refs, parent_events(reg, "key", "registered_at", "deleted_at"), hot
+def _orphans(spark: SparkSession, d: str, epochs: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(references, orphans, pending). Distinct names are keyed, at most 1/share of them are hot; their counts tell which keys are."""
+    ends = _endpoints(spark, d)
+    names = materialize(with_visual_key(ends.groupBy("name").agg(F.count(F.lit(1)).alias("n")), "name", "key"), "names")
+    refs = split_join(ends, names.select("name", "key"), "name", hot_keys(names, "name")).select("key", "ts", "rel_id", "side")
+    hot = hot_keys(names.groupBy("key").agg(F.sum("n").alias("n")), "key")
+    events = parent_events(with_visual_key(registry(spark, d), "name", "key"), "key", "registered_at", "deleted_at")
+    return ends, *replay(refs, events, ["side"], ["rel_id", "side"], even_bounds(ends, epochs), hot)
 
 
-def p5_found(spark: SparkSession, d: str) -> DataFrame:
+def p5_found(spark: SparkSession, d: str, epochs: int = EPOCHS) -> DataFrame:
     """(``rel_id``, ``side``): endpoints whose name no registry row has at ``extracted_at``."""
-    refs, events, hot = _orphan_inputs(spark, d)
-    return orphans(refs, events, ["rel_id", "side"], hot).select("rel_id", "side")
+    return _orphans(spark, d, epochs)[1].select("rel_id", "side")
 
 
-def p5_by_month(spark: SparkSession, d: str) -> DataFrame:
-    """Per field and month of ``extracted_at``: references, orphans, and orphans whose name never came later."""
-    refs, events, hot = _orphan_inputs(spark, d)
-    return snapshots(refs, events, ["side"], hot)
+def p5_by_month(spark: SparkSession, d: str, epochs: int = EPOCHS) -> DataFrame:
+    """Per field and month of ``extracted_at``: references, orphans, and orphans whose name the registry does not have in the end."""
+    ends, _, pending = _orphans(spark, d, epochs)
+    return snapshot(ends, pending, ["side"])
 
 
 QUERIES = {f.__name__: f for f in (p3_found, p3_per_name, p4_found, p4_hierarchy, p4_descendants, p5_found, p5_by_month)}
@@ -121,8 +124,8 @@ CAST(CASE WHEN circle IS NULL THEN top END AS BIGINT) AS root, CASE WHEN top IS
     "p4_descendants": f"""{_PATHS}, ups AS (SELECT id AS descendant, CASE WHEN circle IS NULL THEN path ELSE list_prepend(circle, path) END AS up FROM paths)
 SELECT CAST(u AS BIGINT) AS id, CAST(descendant AS BIGINT) AS descendant, CAST(len(up) - i AS BIGINT) AS distance FROM (SELECT descendant, up, unnest(up) AS u, unnest(range(1, len(up) + 1)) AS i FROM ups) WHERE u <> descendant""",
     "p5_found": f"{_ORPHANS} SELECT rel_id, side FROM orphan",
-    "p5_by_month": f"""{_ORPHANS}, last AS (SELECT key, max(b) AS l FROM reg WHERE g IS NULL OR g > b GROUP BY key),
+    "p5_by_month": f"""{_ORPHANS}, there AS (SELECT DISTINCT key, true AS here FROM reg WHERE b IS NOT NULL AND g IS NULL),
 a AS (SELECT side, date_trunc('month', ts) AS month, count(*) AS n_refs FROM refs GROUP BY ALL),
-o AS (SELECT side, date_trunc('month', ts) AS month, count(*) AS n_orphans, count_if(l IS NULL OR l <= ts) AS n_unresolved FROM orphan LEFT JOIN last USING (key) GROUP BY ALL)
+o AS (SELECT side, date_trunc('month', ts) AS month, count(*) AS n_orphans, count_if(here IS NULL) AS n_unresolved FROM orphan LEFT JOIN there USING (key) GROUP BY ALL)
 SELECT a.side, a.month, CAST(n_refs AS BIGINT) AS n_refs, CAST(coalesce(n_orphans, 0) AS BIGINT) AS n_orphans, CAST(coalesce(n_unresolved, 0) AS BIGINT) AS n_unresolved FROM a LEFT JOIN o ON a.side = o.side AND a.month IS NOT DISTINCT FROM o.month""",
 }

@@ -139,18 +139,14 @@ def test_orphans_and_epochs(spark):
     df = spark.createDataFrame(refs, "key string, ts timestamp, rel_id int, side string")
     for hot in ([], ["a"]):
         assert sorted((x.rel_id, x.side) for x in O.orphans(df, events, ["rel_id", "side"], hot).collect()) == sorted(want)
-    snap = O.snapshots(df, events, ["side"]).collect()
-    assert sum(x.n_refs for x in snap) == len(refs) and sum(x.n_orphans for x in snap) == len(want)
-    cut = datetime(2024, 3, 1)
-    early, late = F.col("ts") < F.lit(cut), F.col("ts") >= F.lit(cut)
-    dated = df.filter("ts is not null")
-    live, counts, f1 = O.advance(None, None, dated.filter(early), events.filter(early), ["side"], ["rel_id", "side"])
-    live2, counts2, f2 = O.advance(live, counts, dated.filter(late), events.filter(late), ["side"], ["rel_id", "side"])
-    both = sorted((x.rel_id, x.side) for x in f1.unionByName(f2).collect())
-    no_time = {i for _, t, i, _ in refs if t is None}
-    assert both == sorted(w for w in want if w[0] not in no_time)
     alive = {k for k, b, g in reg if k and b and g is None}
-    assert sum(x.n_waiting for x in O.waiting(live2, counts2, ["side"]).collect()) == sum(1 for k, t, *_ in refs if t and k not in alive)
+    for bounds in ([], [datetime(2024, 3, 1)], [datetime(2024, 1, 1) + timedelta(hours=250 * i) for i in range(1, 20)]):
+        found, pending = O.replay(df, events, ["side"], ["rel_id", "side"], bounds, ["a"])
+        assert sorted((x.rel_id, x.side) for x in found.collect()) == sorted(want)
+        snap = O.snapshot(df, pending, ["side"]).collect()
+        assert sum(x.n_refs for x in snap) == len(refs) and sum(x.n_orphans for x in snap) == len(want)
+        lost = {i for i, _ in want}
+        assert sum(x.n_unresolved for x in snap) == sum(1 for k, _, i, _ in refs if i in lost and k not in alive)
     assert O.orphans(df.limit(0), events, ["rel_id", "side"]).count() == 0
     assert O.orphans(df, events.limit(0), ["rel_id", "side"]).count() == len(refs)
 
