@@ -25,16 +25,21 @@ def p7_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(packing.token_sizes(table(spark, d, "documents")))
 
 
-def p8_leaks(spark: SparkSession, d: str) -> DataFrame:
-    """(``doc_id``, ``item_id``, ``spans``): documents with the items they leak and what to remove."""
+def _items(spark: SparkSession, d: str) -> DataFrame:
     e = F.col("expected_behavior.expected_response_elements")
     texts = F.concat(F.array("question"), F.coalesce(e, F.array().cast("array<string>")))
-    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "gruth_dataset").select("id", F.filter(texts, lambda x: x.isNotNull()).alias("texts")))
+    return table(spark, d, "gruth_dataset").select("id", F.filter(texts, lambda x: x.isNotNull()).alias("texts"))
+
+
+def p8_leaks(spark: SparkSession, d: str) -> DataFrame:
+    """(``doc_id``, ``item_id``, ``first``, ``after``): the spans of documents that leak an item, in characters."""
+    spans = leakage.leaks(table(spark, d, "documents"), _items(spark, d)).select("doc_id", "item_id", F.explode("spans").alias("s"))
+    return spans.select("doc_id", "item_id", F.col("s.start").cast("bigint").alias("first"), F.col("s.end").cast("bigint").alias("after"))
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     """(``doc_id``, ``item_id``): documents that hold at least 12 consecutive words of the item."""
-    return p8_leaks(spark, d).select("doc_id", "item_id")
+    return leakage.leaks(table(spark, d, "documents"), _items(spark, d), offsets=False).select("doc_id", "item_id")
 
 
 def p9_restored(spark: SparkSession, d: str) -> DataFrame:
@@ -56,4 +61,15 @@ SQL = {
 iw AS (SELECT item_id, {_WORDS.format('x')} AS w FROM t), ig AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 11], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS i FROM iw)),
 dw AS (SELECT doc_id, {_WORDS.format('text')} AS w FROM documents), dg AS (SELECT doc_id, array_to_string(w[i:i + 11], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS i FROM dw))
 SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)""",
+    # a word's place is the sum of the lengths of all words and gaps before it
+    "p8_leaks": f"""WITH t AS (SELECT id AS item_id, question AS x FROM gruth_dataset UNION ALL SELECT id, unnest(expected_behavior.expected_response_elements) FROM gruth_dataset),
+iw AS (SELECT item_id, {_WORDS.format('x')} AS w FROM t), ig AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 11], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS i FROM iw)),
+d AS (SELECT doc_id, regexp_extract_all(text, '[\p{{L}}\p{{N}}]+') AS w, regexp_extract_all(text, '[^\p{{L}}\p{{N}}]+') AS s, regexp_matches(text, '^[^\p{{L}}\p{{N}}]') AS led FROM documents),
+dw AS (SELECT doc_id, i, length(word) AS n, sum(length(word) + coalesce(length(gap), 0)) OVER (PARTITION BY doc_id ORDER BY i) AS e FROM (
+  SELECT doc_id, i, w[i] AS word, CASE WHEN led THEN s[i] WHEN i > 1 THEN s[i - 1] END AS gap FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM d))),
+dg AS (SELECT doc_id, i, array_to_string(f[i:i + 11], ' ') AS g FROM (SELECT doc_id, f, unnest(range(1, len(f) - 10)) AS i FROM (SELECT doc_id, list_transform(w, lambda x: lower(translate(x, 'İIı', 'iii'))) AS f FROM d))),
+hit AS (SELECT DISTINCT doc_id, item_id, i FROM dg JOIN ig USING (g)),
+isle AS (SELECT *, sum(CASE WHEN i - before < 12 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, item_id ORDER BY i) AS k FROM (SELECT *, lag(i) OVER (PARTITION BY doc_id, item_id ORDER BY i) AS before FROM hit)),
+span AS (SELECT doc_id, item_id, min(i) AS a, max(i) + 11 AS b FROM isle GROUP BY doc_id, item_id, k)
+SELECT doc_id, item_id, CAST(x.e - x.n AS BIGINT) AS first, CAST(y.e AS BIGINT) AS after FROM span JOIN dw x USING (doc_id) JOIN dw y USING (doc_id) WHERE x.i = a AND y.i = b""",
 }

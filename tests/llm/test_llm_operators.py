@@ -129,7 +129,7 @@ def test_fm_index_against_scan():
     for _ in range(20):
         runs = [r.randint(1, 5, r.randint(4, 40)) for _ in range(r.randint(1, 6))]
         runs += [runs[0]] * 3
-        index = leakage.FMIndex(runs, 4)
+        index = leakage.FMIndex.of(np.concatenate(runs), np.array([len(x) for x in runs]), 4)
         phrases = np.unique(r.randint(1, 5, (60, 3)), axis=0)
         low, high = index.find(phrases)
         for p, a, b in zip(phrases, low, high):
@@ -137,6 +137,18 @@ def test_fm_index_against_scan():
             assert sorted(index.locate(np.arange(a, b)).tolist()) == want
 
 
+def test_words_in_arrays_are_those_of_the_expression():
+    texts = ["İclas ICLAS ıclas iclas", "", "a_b—c\u00a0Ⅷ 12½ ŞƏRT É\u0301e", "x" * 5000 + " 😀 字体", "\ud800 lone", "  "]
+    at, h, first, size = leakage.numbered_words(texts)
+    got = [[texts[a][f : f + n] for a, f, n in zip(at, first, size) if a == i] for i in range(len(texts))]
+    folded = [["".join(map(leakage._small, w)) for w in ws] for ws in got]
+    assert folded == [leakage.words(t) for t in texts]
+    by = defaultdict(set)
+    for w, x in zip((w for ws in folded for w in ws), h):
+        by[w].add(int(x))
+    assert all(len(v) == 1 for v in by.values()) and len({min(v) for v in by.values()}) == len(by)
+
+
 def _leaks(docs, items, n):
     grams = defaultdict(set)
     for k, ts in items:
@@ -168,8 +180,15 @@ def test_leaks_against_brute_force(spark, monkeypatch):
         assert {(x.doc_id, x.item_id) for x in rows} == want and want
     by = dict(docs)
     for x in rows:
-        for s in x.spans:
-            assert len(leakage.words(by[x.doc_id][s.start : s.end])) >= 12
+        for p in x.spans:
+            assert len(leakage.words(by[x.doc_id][p.start : p.end])) >= 12 and by[x.doc_id][p.start].isalnum() and by[x.doc_id][p.end - 1].isalnum()
+    # a second item set against the same index, without the texts
+    index = leakage.build_index(df, shard=400).cache()
+    late = spark.createDataFrame([("late", [docs[50][1] + " " + docs[120][1]])], "id string, texts array<string>")
+    for its, w in ((it, want), (late, _leaks(docs, [("late", [docs[50][1] + " " + docs[120][1]])], 12))):
+        assert {(x.doc_id, x.item_id) for x in leakage.search_index(index, its).collect()} == w and w
+    bare = {(x.doc_id, x.item_id): x.spans for x in leakage.leaks(df, late, offsets=False).collect()}
+    assert all(p.end - p.start >= 12 for v in bare.values() for p in v)
     assert leakage.leaks(df.limit(0), it).count() == 0 and leakage.leaks(df, it.limit(0)).count() == 0
 
 
