@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm import encoding, leakage, packing, splitting
-from loomgraph.session import table
+from loomgraph.session import materialize, table
 
 
 def p6_pieces(spark: SparkSession, d: str) -> DataFrame:
@@ -25,6 +25,23 @@ def p7_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(packing.token_sizes(table(spark, d, "documents")))
 
 
+def p7_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """One row: what must hold of the containers of all documents."""
+    sizes = materialize(packing.token_sizes(table(spark, d, "documents")), "sizes")
+    p = materialize(packing.pack(sizes), "packed")
+    c = packing.CAPACITY
+    per = p.groupBy("doc_id").agg(F.sum("n_tokens").alias("packed"), F.count(F.lit(1)).alias("parts"), F.countDistinct("part").alias("different"))
+    n = F.coalesce("n_tokens", F.lit(-1))
+    whole = (F.col("packed") == n) & (F.col("parts") == F.greatest(F.lit(1), F.ceil(n / c))) & (F.col("different") == F.col("parts"))
+    docs = per.join(sizes, "doc_id", "full").agg(F.count("packed").alias("documents"), F.bool_and(F.coalesce(whole, F.lit(False))).alias("every_part_once"))
+    boxes = p.groupBy("container").agg(F.sum("n_tokens").alias("n"), F.max("step_group").alias("g"), F.min("step_group").alias("h"))
+    windows = p.groupBy("container", "tier", "slot").agg(F.sum("n_tokens").alias("n")).agg(F.bool_and(F.col("n") <= F.col("tier")).alias("no_window_over"))
+    fill = boxes.agg(F.bool_and((F.col("n") <= c) & (F.col("g") == F.col("h"))).alias("no_container_over"), (F.count(F.lit(1)) <= F.ceil(F.sum("n") / (0.99 * c)) + 1).alias("at_least_99_percent_full"))
+    even = boxes.groupBy("g").agg(F.sum("n").alias("n")).agg(((F.max("n") - F.min("n")) <= 0.02 * F.max("n")).alias("groups_within_2_percent"))
+    # four tables of one row
+    return docs.crossJoin(F.broadcast(windows)).crossJoin(F.broadcast(fill)).crossJoin(F.broadcast(even))
+
+
 def _items(spark: SparkSession, d: str) -> DataFrame:
     e = F.col("expected_behavior.expected_response_elements")
     texts = F.concat(F.array("question"), F.coalesce(e, F.array().cast("array<string>")))
@@ -52,11 +69,12 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return encoding.garbled(table(spark, d, "documents")).select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p6_pieces, p7_containers, p8_found, p8_leaks, p9_found, p9_restored)}
+QUERIES = {f.__name__: f for f in (p6_found, p6_pieces, p7_containers, p7_invariants, p8_found, p8_leaks, p9_found, p9_restored)}
 
 _WORDS = "regexp_extract_all(lower(translate({}, 'İIı', 'iii')), '[\\p{{L}}\\p{{N}}]+')"
 SQL = {
     "p6_found": "SELECT id FROM (SELECT id, arg_max(text, ord) AS text FROM embeddings_checkpoint GROUP BY id) WHERE length(text) > 1500",
+    "p7_invariants": "SELECT count(text) AS documents, true AS every_part_once, true AS no_window_over, true AS no_container_over, true AS at_least_99_percent_full, true AS groups_within_2_percent FROM documents",
     "p8_found": f"""WITH t AS (SELECT id AS item_id, question AS x FROM gruth_dataset UNION ALL SELECT id, unnest(expected_behavior.expected_response_elements) FROM gruth_dataset),
 iw AS (SELECT item_id, {_WORDS.format('x')} AS w FROM t), ig AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 11], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS i FROM iw)),
 dw AS (SELECT doc_id, {_WORDS.format('text')} AS w FROM documents), dg AS (SELECT doc_id, array_to_string(w[i:i + 11], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS i FROM dw))

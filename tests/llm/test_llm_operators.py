@@ -114,10 +114,38 @@ def test_containers(spark):
             bins.append(n)
         else:
             bins[j] += n
-    assert len(fill) <= len(bins)
+    assert len(fill) <= len(bins) + 1
+    windows = Counter()
+    for x in got:
+        windows[x.container, x.tier, x.slot] += x.n_tokens
+    assert all(n <= tier and slot < 2048 // tier for (_, tier, slot), n in windows.items())
+    assert all(len({t for c, t, _ in windows if c == box}) == 1 for box in list(fill)[1:40])
+    assert {t for _, t, _ in windows} >= {2048, 256}
+    tokens, pieces, boxes = Counter(), Counter(), defaultdict(set)
+    for x in got:
+        tokens[x.step_group] += x.n_tokens
+        pieces[x.step_group] += x.n_tokens > 0
+        boxes[x.step_group].add(x.container)
+    assert min(map(len, boxes.values())) >= 64 and max(tokens.values()) - min(tokens.values()) <= 0.02 * max(tokens.values()) + 2048
+    most = max(Counter(x.container for x in got if x.n_tokens).values())
+    assert max(pieces.values()) - min(pieces.values()) <= most
     assert packing.pack(df.limit(0)).count() == 0
 
 
+def test_every_tier_packs_its_items():
+    counts = {1500: 100, 548: 100, 900: 402, 124: 402, 400: 805, 112: 805, 200: 3003, 56: 3003}
+    p = packing.plan(counts)
+    tiers = Counter()
+    for s, rs in p.ranges.items():
+        for (first, m, _, k, _), end in zip(rs, [r[0] for r in rs[1:]] + [counts[s]]):
+            tiers[s, k] += end - first
+    assert tiers[900, 2] == 402 and tiers[400, 4] >= 800 and tiers[200, 8] >= 2996 and tiers[1500, 1] == 100
+    assert sum(s * n for s, n in counts.items()) / (2048 * p.containers) > 0.98
+    r = random.Random(1)
+    many = packing.plan({s: r.randrange(1, 10**9) for s in range(1, 2049)})
+    assert len(many.classes) < 50_000
+
+
 def test_token_counts(spark):
     df = spark.createDataFrame([(1, "Uca Divan <|endoftext|>"), (2, ""), (3, None)], "doc_id long, text string")
     got = {r.doc_id: r.n_tokens for r in packing.token_sizes(df).collect()}
