@@ -128,7 +128,8 @@ def test_containers(spark):
         boxes[x.step_group].add(x.container)
     assert min(map(len, boxes.values())) >= 64 and max(tokens.values()) - min(tokens.values()) <= 0.02 * max(tokens.values()) + 2048
     most = max(Counter(x.container for x in got if x.n_tokens).values())
-    assert max(pieces.values()) - min(pieces.values()) <= most
+    # turns there and back differ by a container in all, and groups may have one container more
+    assert max(pieces.values()) - min(pieces.values()) <= 2 * most
     assert packing.pack(df.limit(0)).count() == 0
 
 
