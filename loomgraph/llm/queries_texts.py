@@ -69,10 +69,17 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return encoding.garbled(table(spark, d, "documents")).select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p6_pieces, p7_containers, p7_invariants, p8_found, p8_leaks, p9_found, p9_restored)}
+def p9_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """(``ord``, ``text``): every checkpoint text, read with a wrong encoding and restored."""
+    texts = table(spark, d, "embeddings_checkpoint").select("ord", F.decode(F.encode("text", "UTF-8"), "ISO-8859-1").alias("text"))
+    return encoding.repair(texts, "ord").select("ord", "text")
+
+
+QUERIES = {f.__name__: f for f in (p6_found, p6_pieces, p7_containers, p7_invariants, p8_found, p8_leaks, p9_found, p9_restored, p9_round_trip)}
 
 _WORDS = "regexp_extract_all(lower(translate({}, 'İIı', 'iii')), '[\\p{{L}}\\p{{N}}]+')"
 SQL = {
+    "p9_round_trip": "SELECT ord, text FROM embeddings_checkpoint",
     "p6_found": "SELECT id FROM (SELECT id, arg_max(text, ord) AS text FROM embeddings_checkpoint GROUP BY id) WHERE length(text) > 1500",
     "p7_invariants": "SELECT count(text) AS documents, true AS every_part_once, true AS no_window_over, true AS no_container_over, true AS at_least_99_percent_full, true AS groups_within_2_percent FROM documents",
     "p8_found": f"""WITH t AS (SELECT id AS item_id, question AS x FROM gruth_dataset UNION ALL SELECT id, unnest(expected_behavior.expected_response_elements) FROM gruth_dataset),

@@ -8,6 +8,7 @@ import pytest
 
 from loomgraph.functions.visual import fold, plain_key, visual_key
 from loomgraph.llm import encoding, leakage, lookalikes, packing, records, splitting
+from tests.llm.sentences import SENTENCES
 
 
 def test_lookalikes_against_brute_force(spark):
@@ -258,6 +259,32 @@ def test_clean_texts_stay(text):
     assert encoding.restore(text) == (text, [])
 
 
+@pytest.mark.parametrize("lang", sorted(SENTENCES))
+def test_other_languages_stay_and_come_back(lang):
+    texts = SENTENCES[lang]
+    assert encoding.restore_all(texts) == (texts, [[] for _ in texts])
+    for read in ("cp1252", "latin-1", "cp1251", "cp437"):
+        text = " ".join(texts)
+        bad = "".join(encoding._chars(read)[b] for b in text.encode())
+        if bad != text:
+            assert encoding.restore(bad)[0] == text
+
+
+def test_capitals_come_back():
+    text = "УКАЗ ПРЕЗИДЕНТА РОССИЙСКОЙ ФЕДЕРАЦИИ О НАЗНАЧЕНИИ МИНИСТРА"
+    for wrote, read in (("cp1251", "koi8-r"), ("koi8-r", "cp1251")):
+        bad = "".join(encoding._chars(read)[b] for b in text.encode(wrote))
+        assert encoding.restore(bad)[0] == text
+
+
+def test_many_texts_at_once_give_what_each_gives_alone():
+    bad = ["".join(encoding._chars("cp1252")[b] for b in CLEAN["az"].encode()), "".join(encoding._chars("koi8-r")[b] for b in CLEAN["ru"].encode("cp1251"))]
+    texts = [t for s in SENTENCES.values() for t in s]
+    mixed = [x for i, t in enumerate(texts) for x in (t, None, "", bad[i % 2], t + " " + bad[0])]
+    got = encoding.restore_all(mixed)
+    assert got[0] == [t and encoding.restore(t)[0] for t in mixed] and got[1] == [encoding.restore(t)[1] if t else [] for t in mixed]
+
+
 def test_repair_rows(spark):
     bad = "".join(encoding._chars("cp1252")[b] for b in CLEAN["az"].encode())
     rows = [(1, CLEAN["az"], 0), (2, bad, 0), (3, None, 0), (4, "", 0), (5, "itmi� mətn", 0), (2, bad, 0), (6, (CLEAN["ru"] + " ") * 300 + bad, 0)]
