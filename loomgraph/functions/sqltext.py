@@ -32,8 +32,3 @@ def visual_key(x: str) -> str:
         bare = f"replace({bare}, '{sign}', '{text}')"
     canon = f"nfc_normalize(translate({bare}, {_quoted(''.join(pairs))}, {_quoted(''.join(pairs.values()))}))"
     return letters(canon)
-
-
-def plain_key(x: str) -> str:
-    """The folded name without spaces, tabs, line breaks and visible punctuation."""
-    return f"regexp_replace({folded(x)}, '[ \\t\\r\\n\\p{{P}}\\p{{S}}]+', '', 'g')"

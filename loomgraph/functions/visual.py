@@ -1,8 +1,7 @@
 """Keys of names: Azerbaijani case folding, look-alike skeletons and plain forms.
 
 ``visual_key`` is equal for two names that look the same, case, blanks and
-punctuation aside; ``plain_key`` also keeps apart every other character.
-Only segments that are not already stable are normalised: a regular
+punctuation aside. Only segments that are not already stable are normalised: a regular
 expression built from the normalisation quick-check properties finds them, each
 with the starter before it, and the canonical segment is spliced back.
 """
@@ -28,13 +27,17 @@ LOOKALIKES = {
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X",
     "α": "a", "β": "b", "ε": "e", "ζ": "z", "η": "h", "ι": "ı", "κ": "k", "μ": "m", "ν": "n", "ο": "o", "ρ": "p", "τ": "t", "υ": "y", "χ": "x",
     "Օ": "O", "օ": "o", "ɡ": "g", "ǝ": "ə", "Ǝ": "Ə", "∆": "Δ", "ꞓ": "c", "ɑ": "a",
+    "Ԍ": "G", "Ѵ": "V", "Ѡ": "W", "Ꮃ": "W", "Ꮩ": "V", "Ꭺ": "A", "Ᏼ": "B", "Ꮯ": "C", "Ꭰ": "D", "Ꭼ": "E", "Ꮐ": "G", "Ꮋ": "H", "Ꭻ": "J", "Ꮶ": "K", "Ꮮ": "L", "Ꮇ": "M",
+    "Ꮲ": "P", "Ꭱ": "R", "Ꮪ": "S", "Ꭲ": "T", "Ꮓ": "Z", "Ϲ": "C", "Ϳ": "J", "Ϝ": "F", "Ո": "N", "Ս": "U", "Տ": "S", "Հ": "H", "Յ": "J", "Ց": "G", "Լ": "L",
 }
+# the other case of a letter looks like the other case of its look-alike, or is put aside with it
+LOOKALIKES |= {o: v for k, v in LOOKALIKES.items() for o in (k.lower(), k.upper()) if len(o) == 1 and o not in LOOKALIKES and o.lower() == k.lower()}
 # Characters that show nothing (default ignorable), as ranges.
 INVISIBLE = "\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180f\u200b-\u200f\u202a-\u202e\u2060-\u206f\u3164\ufe00-\ufe0f\ufeff\uffa0\ufff0-\ufff8"
 
-_LOOK = str.maketrans(LOOKALIKES)
+LOOK = str.maketrans(LOOKALIKES)
 _AZ = str.maketrans("İI", "iı")
-_INVISIBLE = re.compile(f"[{INVISIBLE}]+")
+INVISIBLE_RUN = re.compile(f"[{INVISIBLE}]+")
 _CACHE = 100_000
 
 
@@ -55,15 +58,23 @@ def _ranges(cps: list[int]) -> str:
 
 
 @lru_cache(1)
-def _unstable() -> re.Pattern:
-    """A starter followed by characters that quick-check No or Maybe, combine, show nothing or look like others."""
-    invisible = _INVISIBLE
+def unstable() -> re.Pattern:
+    """A starter followed by characters that quick-check No or Maybe, combine, show nothing or look like others.
+
+    Maybe are the characters that a composite has in second place, some of which are starters themselves.
+    """
+    maybe = set()
+    for cp in range(0xC0, 0x2FA20):
+        d = unicodedata.decomposition(chr(cp))
+        if d and d[0] != "<" and " " in d and unicodedata.normalize("NFC", chr(cp)) == chr(cp):
+            maybe.add(int(d.split()[1], 16))
+    invisible = INVISIBLE_RUN
     bad = []
     for cp in range(0x80, 0x323B0):
         if 0xAC00 <= cp <= 0xD7A3 or 0xD800 <= cp <= 0xF8FF or 0x3400 <= cp <= 0x9FFF or 0x20000 <= cp < 0x2F800:
             continue
         c = chr(cp)
-        if unicodedata.combining(c) or 0x1160 <= cp <= 0x11FF or not unicodedata.is_normalized("NFKC", c) or invisible.match(c) or any(x in LOOKALIKES for x in unicodedata.normalize("NFKD", c)):
+        if cp in maybe or unicodedata.combining(c) or 0x1160 <= cp <= 0x11FF or not unicodedata.is_normalized("NFKC", c) or invisible.match(c) or c in LOOKALIKES or any(x in LOOKALIKES for x in unicodedata.normalize("NFKD", c)):
             bad.append(cp)
     return re.compile(f".?[{_ranges(bad)}]+", re.S)
 
@@ -82,12 +93,8 @@ def stable_col(c: Column | str) -> Column:
 
 
 def _canonical_segment(m: re.Match) -> str:
-    s = _INVISIBLE.sub("", unicodedata.normalize("NFKD", m.group()))
-    return unicodedata.normalize("NFC", s.translate(_LOOK))
-
-
-def _normal_segment(m: re.Match) -> str:
-    return unicodedata.normalize("NFKC", _INVISIBLE.sub("", m.group()))
+    s = INVISIBLE_RUN.sub("", unicodedata.normalize("NFKD", m.group().translate(LOOK)))
+    return unicodedata.normalize("NFC", s.translate(LOOK))
 
 
 def skeleton(s: str) -> str:
@@ -95,22 +102,8 @@ def skeleton(s: str) -> str:
     if s.isascii():
         return s
     # a mark may follow an invisible character, so both go before the segments are cut
-    s = _INVISIBLE.sub("", s)
-    return _unstable().sub(_canonical_segment, s)
-
-
-def tidy(s: str) -> str:
-    """Normalised text for display: compatibility forms composed, invisible characters dropped, blanks single.
-
-    Look-alike letters are replaced only in words that mix scripts, where they can only be damage.
-    """
-    s = _unstable().sub(_normal_segment, _INVISIBLE.sub("", s))
-    words = s.split()
-    for i, w in enumerate(words):
-        t = w.translate(_LOOK)
-        if t != w and any("a" <= c.lower() <= "z" or 0xC0 <= ord(c) < 0x250 for c in w):
-            words[i] = unicodedata.normalize("NFC", t)
-    return " ".join(words)
+    s = INVISIBLE_RUN.sub("", s)
+    return unstable().sub(_canonical_segment, s)
 
 
 def _alnum(s: str) -> str:
@@ -125,16 +118,6 @@ def visual_key(s: str) -> str:
 _cached_key = lru_cache(_CACHE)(visual_key)
 
 
-@lru_cache(4096)
-def _aside(c: str) -> bool:
-    return c in " \t\r\n" or unicodedata.category(c)[0] in "PS"
-
-
-def plain_key(s: str) -> str:
-    """``s`` folded, without spaces, tabs, line breaks and visible punctuation; all else stays."""
-    return fold(s if s.isalnum() else "".join(c for c in s if not _aside(c)))
-
-
 def _mapped(f, s: pd.Series) -> pd.Series:
     return pd.Series([None if v is None or v != v else f(v) for v in s], dtype=object)
 
@@ -144,11 +127,6 @@ def visual_keys(s: pd.Series) -> pd.Series:
     return _mapped(lambda v: _cached_key(v) if len(v) < 200 else visual_key(v), s)
 
 
-def tidies(s: pd.Series) -> pd.Series:
-    """Tidy forms of a batch."""
-    return _mapped(tidy, s)
-
-
 # the bodies import the module, so workers share its caches and nothing of it is pickled
 @F.pandas_udf(StringType())
 def _visual_key_udf(s: pd.Series) -> pd.Series:
@@ -157,13 +135,6 @@ def _visual_key_udf(s: pd.Series) -> pd.Series:
     return visual.visual_keys(s)
 
 
-@F.pandas_udf(StringType())
-def _tidy_udf(s: pd.Series) -> pd.Series:
-    from loomgraph.functions import visual
-
-    return visual.tidies(s)
-
-
 def visual_key_col(c: Column | str) -> Column:
     """Column form of :func:`visual_key`; null stays null."""
     return _visual_key_udf(c)
@@ -175,16 +146,6 @@ def with_visual_key(df: DataFrame, c: str, out: str) -> DataFrame:
     return marked.withColumn(out, F.when(F.col("_stable"), letters_col(c)).otherwise(visual_key_col(F.when(~F.col("_stable"), F.col(c))))).drop("_stable")
 
 
-def plain_key_col(c: Column | str) -> Column:
-    """Column form of :func:`plain_key`, inside the JVM; null stays null."""
-    return F.regexp_replace(fold_col(c), r"[ \t\r\n\p{P}\p{S}]+", "")
-
-
-def tidy_col(c: Column | str) -> Column:
-    """Column form of :func:`tidy`; null stays null."""
-    return _tidy_udf(c)
-
-
 def fold_col(c: Column | str) -> Column:
     """Azerbaijani lower case inside the JVM."""
     c = F.col(c) if isinstance(c, str) else c
