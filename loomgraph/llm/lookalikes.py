@@ -1,11 +1,21 @@
-"""Visually identical text with different characters."""
+"""Visually identical text with different characters.
+
+The keys of look-alike names, which orphan references need as well, are in :mod:`loomgraph.functions.visual`; the
+normal form of a text, the key that keeps characters apart and the operator are here.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+import unicodedata
+from functools import lru_cache
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from loomgraph.functions.visual import plain_key_col, tidy_col, with_visual_key
+from loomgraph.functions.visual import INVISIBLE_RUN, LOOK, fold, fold_col, unstable, with_visual_key
 from loomgraph.operators.skew import hot_keys, split_join
 from loomgraph.session import materialize
 
@@ -13,6 +23,52 @@ from loomgraph.session import materialize
 HOT = 0.005
 
 
+def _normal_segment(m: re.Match) -> str:
+    return unicodedata.normalize("NFKC", m.group())
+
+
+def tidy(s: str) -> str:
+    """Normalised text for display: compatibility forms composed, invisible characters dropped, blanks single.
+
+    Only unstable segments are normalised. Look-alike letters are replaced only in words that mix scripts, where they can only be damage.
+    """
+    s = unstable().sub(_normal_segment, INVISIBLE_RUN.sub("", s))
+    words = s.split()
+    for i, w in enumerate(words):
+        t = w.translate(LOOK)
+        if t != w and any("a" <= c.lower() <= "z" or 0xC0 <= ord(c) < 0x250 for c in w):
+            words[i] = unicodedata.normalize("NFC", t)
+    return " ".join(words)
+
+
+@lru_cache(4096)
+def _aside(c: str) -> bool:
+    return c in " \t\r\n" or unicodedata.category(c)[0] in "PS"
+
+
+def plain_key(s: str) -> str:
+    """``s`` folded, without spaces, tabs, line breaks and visible punctuation; all else stays."""
+    return fold(s if s.isalnum() else "".join(c for c in s if not _aside(c)))
+
+
+# the body imports the module, so that nothing of it is pickled
+@F.pandas_udf(StringType())
+def _tidy_udf(s: pd.Series) -> pd.Series:
+    from loomgraph.llm import lookalikes
+
+    return pd.Series([None if v is None or v != v else lookalikes.tidy(v) for v in s], dtype=object)
+
+
+def plain_key_col(c: Column | str) -> Column:
+    """Column form of :func:`plain_key`, inside the JVM; null stays null."""
+    return F.regexp_replace(fold_col(c), r"[ \t\r\n\p{P}\p{S}]+", "")
+
+
+def tidy_col(c: Column | str) -> Column:
+    """Column form of :func:`tidy`; null stays null."""
+    return _tidy_udf(c)
+
+
 def _keyed(df: DataFrame, name: str) -> DataFrame:
     return with_visual_key(df, name, "key").withColumn("plain", plain_key_col(name))
 

@@ -31,27 +31,35 @@ def p1_forms(spark: SparkSession, d: str) -> DataFrame:
     return lookalikes.canonical_rows(_values(spark, d), registry(spark, d)).select("table_name", "row_id", "field", "form")
 
 
-def _tables(spark: SparkSession, d: str) -> list[tuple[str, DataFrame, str]]:
+def _tables(spark: SparkSession, d: str) -> list[tuple]:
+    """(table, rows, id, raw columns, how their fields are made): lines are parsed once they are distinct."""
     return [
-        ("relation_mention", table(spark, d, "relation_mention").select("rel_id", *FIELDS), "rel_id"),
-        ("relation_line", records.parsed_lines(table(spark, d, "relation_line").select("line_id", "line")), "line_id"),
+        ("relation_mention", table(spark, d, "relation_mention").select("rel_id", *FIELDS), "rel_id", FIELDS, None),
+        ("relation_line", table(spark, d, "relation_line").select("line_id", "line"), "line_id", ("line",), records.parsed_lines),
     ]
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """(``table_name``, ``first_id``, ``copy_id``): the smallest id of each set of same records with each other id."""
-    a, b = (records.copy_pairs(t, i, FIELDS).select(F.lit(n).alias("table_name"), "first_id", "copy_id") for n, t, i in _tables(spark, d))
+    a, b = (records.copy_pairs(t, i, FIELDS, raw, parse).select(F.lit(n).alias("table_name"), "first_id", "copy_id") for n, t, i, raw, parse in _tables(spark, d))
     return a.unionByName(b)
 
 
 def p2_records(spark: SparkSession, d: str) -> DataFrame:
     """One row per record of either table with its number of copies and of spellings."""
-    a, b = (records.collapsed(t, i, FIELDS).select(F.lit(n).alias("table_name"), "first_id", *FIELDS, "copies", "spellings") for n, t, i in _tables(spark, d))
+    a, b = (records.collapsed(t, i, FIELDS, raw, parse).select(F.lit(n).alias("table_name"), "first_id", *FIELDS, "copies", "spellings") for n, t, i, raw, parse in _tables(spark, d))
     return a.unionByName(b)
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_forms, p2_found, p2_records)}
 
+
+
+def _plain(x: str) -> str:
+    """The folded name without spaces, tabs, line breaks and visible punctuation, in SQL."""
+    return f"regexp_replace({sqltext.folded(x)}, '[ \\t\\r\\n\\p{{P}}\\p{{S}}]+', '', 'g')"
+
+
 _VALUES = """SELECT 'entity_mention' AS table_name, mention_id AS row_id, 'name' AS field, name AS value FROM entity_mention
 UNION ALL SELECT 'relation_mention', rel_id, 'source', source FROM relation_mention UNION ALL SELECT 'relation_mention', rel_id, 'target', target FROM relation_mention"""
 _LINES = """SELECT line_id AS id, line ->> '$.source' AS source, line ->> '$.target' AS target, line ->> '$.relation' AS relation FROM (SELECT line_id, CASE WHEN json_valid(line) THEN line END AS line FROM relation_line) WHERE line IS NOT NULL"""
@@ -59,8 +67,8 @@ _KEYS = ", ".join(f"{sqltext.letters(f)} AS k_{f}" for f in FIELDS)
 _RECORDS = f"""WITH rows AS (SELECT 'relation_mention' AS table_name, rel_id AS id, source, target, relation FROM relation_mention UNION ALL SELECT 'relation_line', * FROM ({_LINES})),
 keyed AS (SELECT *, {_KEYS} FROM rows), same AS (SELECT *, min(id) OVER w AS first_id, count(*) OVER w AS copies FROM keyed WHERE k_source <> '' AND k_target <> '' AND k_relation <> '' WINDOW w AS (PARTITION BY table_name, k_source, k_target, k_relation))"""
 SQL = {
-    "p1_found": f"""WITH v AS ({_VALUES}), d AS (SELECT value, {sqltext.visual_key('value')} AS key, {sqltext.plain_key('value')} AS plain FROM (SELECT DISTINCT value FROM v WHERE value IS NOT NULL)),
-r AS (SELECT {sqltext.visual_key('name')} AS key, {sqltext.plain_key('name')} AS plain FROM (SELECT name FROM graph_node UNION SELECT name FROM core_node)),
+    "p1_found": f"""WITH v AS ({_VALUES}), d AS (SELECT value, {sqltext.visual_key('value')} AS key, {_plain('value')} AS plain FROM (SELECT DISTINCT value FROM v WHERE value IS NOT NULL)),
+r AS (SELECT {sqltext.visual_key('name')} AS key, {_plain('name')} AS plain FROM (SELECT name FROM graph_node UNION SELECT name FROM core_node)),
 f AS (SELECT value FROM d WHERE key <> '' AND key IN (SELECT key FROM r) AND NOT EXISTS (SELECT 1 FROM r WHERE r.key = d.key AND r.plain = d.plain))
 SELECT table_name, row_id, field FROM v WHERE value IN (SELECT value FROM f)""",
     "p2_found": f"{_RECORDS} SELECT table_name, first_id, id AS copy_id FROM same WHERE id <> first_id",

@@ -6,8 +6,9 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from loomgraph.functions.visual import fold, plain_key, visual_key
+from loomgraph.functions.visual import fold, visual_key
 from loomgraph.llm import encoding, leakage, lookalikes, packing, records, splitting
+from loomgraph.llm.lookalikes import plain_key
 from tests.llm.sentences import SENTENCES
 
 
@@ -28,6 +29,20 @@ def test_lookalikes_against_brute_force(spark):
     assert lookalikes.flagged_rows(rows.limit(0), reg).count() == 0 and lookalikes.flagged_rows(rows, reg.limit(0)).count() == 0
 
 
+def test_plain_keys_keep_other_characters():
+    assert plain_key("Baş-Təftiş  Palatası\n") == plain_key("baş təftiş (palatası)")
+    assert plain_key("Uca\u00a0Divan") != plain_key("Uca Divan")
+    assert plain_key("Uсa Divan") != plain_key("Uca Divan")
+
+
+def test_tidy_forms(spark):
+    vals = ["Uca Divan", None, "", "Uсa  Divan", "x" * 5000 + "é", "  ", "\u09c7\u09be", "ｕｃａ\u200b"]
+    df = spark.createDataFrame([(v,) for v in vals], "s string")
+    got = {r.s: (r.p, r.t) for r in df.select("s", lookalikes.plain_key_col("s").alias("p"), lookalikes.tidy_col("s").alias("t")).collect()}
+    assert got == {v: (None, None) if v is None else (plain_key(v), lookalikes.tidy(v)) for v in vals}
+    assert lookalikes.tidy("Uсa  Divan") == "Uca Divan" and lookalikes.tidy("\u09c7\u09be") == "\u09cb" and lookalikes.tidy("ｕｃａ\u200b") == "uca"
+
+
 def test_records_against_brute_force(spark):
     r = random.Random(2)
     base = [("İcra Divanı", "b", f"r {i}") for i in range(6)]
@@ -58,6 +73,16 @@ def test_lines(spark):
     assert got == {0: ("a", "b", "c"), 1: ("a", "b", "c"), 7: ("a", None, None)}
 
 
+def test_lines_collapse_before_they_are_parsed(spark):
+    a, b = '{"source":"A b","target":"t","relation":"r"}', '{"target":"T!","relation":"R","source":"a-b"}'
+    lines = [a] * 5 + [b] * 3 + ['{"source":"A b", "target":"t","relation":"r"}', '{"source":"x","target":"t","relation":"r"}', '{"cut', None]
+    df = spark.createDataFrame(list(enumerate(lines)), "line_id long, line string").repartition(3)
+    f = ["source", "target", "relation"]
+    got = {(x.first_id, x.copy_id) for x in records.copy_pairs(df, "line_id", f, ["line"], records.parsed_lines).collect()}
+    assert got == {(0, i) for i in range(1, 9)}
+    assert {(x.first_id, x.copies, x.spellings) for x in records.collapsed(df, "line_id", f, ["line"], records.parsed_lines).collect()} == {(0, 9, 2), (9, 1, 1)}
+
+
 def test_pieces_round_trip(spark):
     r = random.Random(4)
     sent = lambda: "Söz " * r.randrange(3, 60) + r.choice(["son. ", "son; ", "m. 5 son.\r\n", "son\n"])
