@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions.embed import dot
 from loomgraph.functions.textops import clip_words, sorted_articles
+from loomgraph.operators.models import step
 from loomgraph.operators.search import DECIMALS, ranked, vector_topk
 from loomgraph.operators.tables import batches
 
@@ -166,24 +167,24 @@ def map_reduce(queries: DataFrame, reports: DataFrame, generator, top: int = 6,
     sel = global_batches(queries, reports, top, size).join(reports.select("community", "title", "summary", "articles"), "community").join(queries.select("query_id", "query_text"), "query_id")
     per = sel.groupBy("query_id", "query_text").agg(F.array_sort(F.collect_list(F.struct("rank", "batch", "title", "summary", "articles"))).alias("reports"))
 
-    @F.udf("struct<answer:string,articles:array<string>>")
-    def run(query: str, rows: list) -> tuple[str, list[str]]:
-        parts, articles = [], []
-        for b in sorted({r["batch"] for r in rows}):
-            batch = [r for r in rows if r["batch"] == b]
+    def one(r: dict) -> dict:
+        parts, articles, rows = [], [], r["reports"]
+        out = {"query_id": r["query_id"], "answer": "", "articles": [], "communities_used": [x["title"] for x in rows]}
+        for b in sorted({x["batch"] for x in rows}):
+            batch = [x for x in rows if x["batch"] == b]
             try:
-                relevant, partial = generator.map(query, batch)
+                relevant, partial = generator.map(r["query_text"], batch)
             except Exception:  # noqa: BLE001 a failed map call skips its batch
                 continue
             if relevant and partial.strip():
                 parts.append(partial.strip())
-                articles += [a for r in batch for a in r["articles"] or []]
+                articles += [a for x in batch for a in x["articles"] or []]
         if not parts:
-            return "", []
+            return out
         try:
-            return generator.reduce(query, parts), articles
+            return out | {"answer": generator.reduce(r["query_text"], parts), "articles": articles}
         except Exception:  # noqa: BLE001 a failed reduce call keeps the parts
-            return "\n\n".join(parts), articles
+            return out | {"answer": "\n\n".join(parts), "articles": articles}
 
-    out = per.withColumn("_r", run("query_text", "reports"))
-    return out.select("query_id", F.col("_r.answer").alias("answer"), F.transform("reports", lambda r: r["title"]).alias("communities_used"), sorted_articles(F.col("_r.articles")).alias("articles_used"))
+    out = step(per, one, f"query_id {dict(per.dtypes)['query_id']}, answer string, articles array<string>, communities_used array<string>")
+    return out.select("query_id", "answer", "communities_used", sorted_articles(F.col("articles")).alias("articles_used"))

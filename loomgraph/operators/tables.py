@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,12 +30,12 @@ def cache_misses(texts: DataFrame, cache: DataFrame, text: str = "text") -> Data
 
 def cache_pruned(cache: DataFrame, texts: DataFrame, text: str = "text") -> DataFrame:
     """The cache without vectors of texts that are gone."""
-    return cache.join(texts.select(vector_key(text).alias("key")), "key", "left_semi")
+    return cache.join(texts.filter(F.col(text).isNotNull()).select(vector_key(text).alias("key")), "key", "left_semi")
 
 
-def vector_index(texts: DataFrame, cache: DataFrame, embed, text: str = "text") -> DataFrame:
-    """The pruned cache (``key``, ``vec``) with the vectors of new texts; ``embed`` maps a text column to a vector column."""
-    new = cache_misses(texts, cache, text).select("key", embed("text").alias("vec"))
+def vector_index(texts: DataFrame, cache: DataFrame, embed: Callable[[DataFrame], DataFrame], text: str = "text") -> DataFrame:
+    """The pruned cache (``key``, ``vec``) with the vectors of new texts; ``embed`` adds ``vec`` to rows with ``key`` and ``text``."""
+    new = embed(cache_misses(texts, cache, text)).select("key", "vec")
     return cache_pruned(cache, texts, text).select("key", "vec").unionByName(new)
 
 

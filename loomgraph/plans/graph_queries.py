@@ -86,9 +86,14 @@ def comm_sizes(spark: SparkSession, d: str) -> DataFrame:
     return communities(spark, d).filter(F.size("members") >= 2).groupBy(F.size("members").cast("bigint").alias("size")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def _graph_members(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def resolved(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges without vectors."""
     nodes = materialize(G.resolve_entities(mentions(spark, d)), "nodes")
-    edges = materialize(G.aggregate_edges(relations(spark, d), nodes), "edges")
+    return nodes, materialize(G.aggregate_edges(relations(spark, d), nodes), "edges")
+
+
+def _graph_members(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    nodes, edges = resolved(spark, d)
     return members(spark, d).join(nodes.select("key"), "key", "left_semi"), nodes, edges
 
 

@@ -13,9 +13,9 @@ from loomgraph.session import table
 
 
 def resume_pending(spark: SparkSession, d: str) -> DataFrame:
-    """Chunks that no entity was extracted from yet."""
-    done = table(spark, d, "entity_mention").select(F.col("chunk_id").alias("id"))
-    return T.pending(table(spark, d, "embeddings_checkpoint").select("id", "ord"), done)
+    """Names of relation sources that the registry does not hold as they are written."""
+    done = table(spark, d, "graph_node").select(F.col("name").alias("id"))
+    return T.pending(table(spark, d, "relation_mention").filter("source is not null").select(F.col("source").alias("id")).distinct(), done)
 
 
 def min_length(spark: SparkSession, d: str) -> DataFrame:
@@ -29,17 +29,21 @@ def last_write_wins(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _cache(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").filter("doc_id % 2 = 0").select(X.vector_key("text").alias("key")).distinct()
+    return table(spark, d, "relation_mention").filter("source is not null").select(X.vector_key("source").alias("key")).distinct()
+
+
+def _names(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "entity_mention").select(F.col("name").alias("text"))
 
 
 def cache_misses(spark: SparkSession, d: str) -> DataFrame:
-    """Distinct texts missing from a cache of the even documents."""
-    return T.cache_misses(table(spark, d, "documents"), _cache(spark, d))
+    """Distinct entity names missing from a cache of all relation sources."""
+    return T.cache_misses(_names(spark, d), _cache(spark, d))
 
 
 def cache_pruned(spark: SparkSession, d: str) -> DataFrame:
-    """Keys of that cache that documents with ``lang`` exactly az still need."""
-    return T.cache_pruned(_cache(spark, d), table(spark, d, "documents").filter("lang = 'az'"))
+    """Keys of that cache that entity names still need."""
+    return T.cache_pruned(_cache(spark, d), _names(spark, d))
 
 
 def set_equality(spark: SparkSession, d: str) -> DataFrame:
@@ -95,11 +99,11 @@ QUERIES = {f.__name__: f for f in (resume_pending, min_length, last_write_wins,
 _K = lambda x: f"sha1('gemini-embedding-001|768|RETRIEVAL_DOCUMENT|' || {x})"
 _GK = ", ".join(f"{sql_key(c)} AS {c}" for c in ("source", "target", "relation"))
 SQL = {
-    "resume_pending": "SELECT id, ord FROM embeddings_checkpoint WHERE id NOT IN (SELECT chunk_id FROM entity_mention WHERE chunk_id IS NOT NULL)",
+    "resume_pending": "SELECT DISTINCT source AS id FROM relation_mention WHERE source IS NOT NULL AND source NOT IN (SELECT name FROM graph_node WHERE name IS NOT NULL)",
     "min_length": "SELECT ord, id FROM embeddings_checkpoint WHERE length(regexp_replace(text, '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g')) >= 10",
     "last_write_wins": "SELECT id, ord, level, parent FROM communities QUALIFY row_number() OVER (PARTITION BY id ORDER BY ord DESC) = 1",
-    "cache_misses": f"SELECT DISTINCT {_K('text')} AS key, text FROM documents WHERE text IS NOT NULL AND text NOT IN (SELECT text FROM documents WHERE doc_id % 2 = 0 AND text IS NOT NULL)",
-    "cache_pruned": f"SELECT DISTINCT {_K('text')} AS key FROM documents WHERE doc_id % 2 = 0 AND text IN (SELECT text FROM documents WHERE lang = 'az')",
+    "cache_misses": f"SELECT DISTINCT {_K('name')} AS key, name AS text FROM entity_mention WHERE name IS NOT NULL AND name NOT IN (SELECT source FROM relation_mention WHERE source IS NOT NULL)",
+    "cache_pruned": f"SELECT DISTINCT {_K('name')} AS key FROM entity_mention WHERE name IN (SELECT source FROM relation_mention)",
     "set_equality": "SELECT NOT EXISTS ((SELECT id FROM embeddings_checkpoint EXCEPT SELECT chunk_id FROM entity_mention) UNION ALL (SELECT chunk_id FROM entity_mention EXCEPT SELECT id FROM embeddings_checkpoint)) AS same",
     "upserted": "WITH o AS (SELECT o_custkey, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1) SELECT coalesce(c_custkey, o_custkey) AS c_custkey, coalesce(o_totalprice, c_acctbal) AS value FROM customer FULL JOIN o ON o_custkey = c_custkey",
     "batch_tokens": "SELECT (rn - 1) // 10 AS batch, count(*) AS n, CAST(sum(greatest(1, length(text) // 4)) AS BIGINT) AS tokens FROM (SELECT *, row_number() OVER (ORDER BY ord) AS rn FROM embeddings_checkpoint) GROUP BY ALL",

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,11 +43,41 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
+_written: list[str] = []
+
+
+def drop_written(spark: SparkSession) -> int:
+    """Deletes the tables that :func:`materialize` wrote in this process, once the results that read them are stored; their number."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    n = len(_written)
+    while _written:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(conf).delete(path, True)
+    return n
+
+
+class Lazy:
+    """A value that is built at first use and again after :meth:`reload`, for an index that many questions share."""
+
+    def __init__(self, build: Callable[[], Any]) -> None:
+        self._build, self._value = build, None
+
+    def get(self) -> Any:
+        if self._value is None:
+            self._value = self._build()
+        return self._value
+
+    def reload(self) -> Any:
+        self._value = None
+        return self.get()
+
+
 def materialize(df: DataFrame, name: str, by: tuple[str, ...] = ()) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage, survives lost executors. ``by`` names columns of few values that readers filter by."""
     spark = df.sparkSession
     at = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.partitionBy(*by).parquet(at)
+    _written.append(at)
     return spark.read.schema(df.schema).parquet(at)
 
 

@@ -6,6 +6,7 @@ Data files are read FAILFAST with a fixed schema; checkpoints skip malformed lin
 from __future__ import annotations
 
 import os
+import time
 from collections.abc import Callable
 from dataclasses import dataclass, fields
 
@@ -59,20 +60,29 @@ def done_ids(spark: SparkSession, path: str, key: str = "id") -> DataFrame:
 
 
 def append(df: DataFrame, path: str, form: str = "json") -> None:
-    """Finished rows added to a checkpoint."""
-    df.write.mode("append").format(form).save(path)
+    """Finished rows added to a checkpoint, with ``_seq``, which grows from one call to the next: readers order lines by it."""
+    df.withColumn("_seq", F.lit(time.time_ns())).write.mode("append").format(form).save(path)
+
+
+def _last(raw: DataFrame, key: str) -> DataFrame:
+    # lines without a number, as others write them, come first, in the order of their file
+    at = F.struct("_seq", F.input_file_name().alias("f"), F.monotonically_increasing_id().alias("i"))
+    return last_wins(raw.withColumn("_at", at).drop("_seq"), key, "_at").drop("_at")
 
 
 def read_reports(spark: SparkSession, path: str) -> DataFrame:
-    """Reports by community; a later line overrides. The order of lines is that of the file."""
-    raw = read_jsonl(spark, path, REPORT).withColumn("_at", F.struct(F.input_file_name(), F.monotonically_increasing_id()))
-    return last_wins(raw, "community_id", "_at")
+    """Reports by community; a later line overrides."""
+    return _last(read_jsonl(spark, path, f"{REPORT}, _seq bigint"), "community_id")
 
 
 def read_summaries(spark: SparkSession, path: str) -> DataFrame:
     """Cached summaries by id; the last line counts, malformed lines are ignored."""
-    raw = read_jsonl(spark, path, SUMMARY, strict=False).withColumn("_at", F.struct(F.input_file_name(), F.monotonically_increasing_id()))
-    return last_wins(raw, "id", "_at")
+    return _last(read_jsonl(spark, path, f"{SUMMARY}, _seq bigint", strict=False), "id")
+
+
+def read_extractions(spark: SparkSession, path: str) -> DataFrame:
+    """Extraction lines, all of them; :func:`loomgraph.operators.models.extracted_mentions` makes mentions of them."""
+    return read_jsonl(spark, path, EXTRACTION)
 
 
 def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
@@ -108,29 +118,40 @@ def read_communities(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(COMMUNITY).option("multiLine", True).option("mode", "FAILFAST").json(path)
 
 
+def export_communities(communities: DataFrame) -> DataFrame:
+    """One row ``value``: the communities as one JSON list by id, which :func:`read_communities` reads. For lists that one document can hold."""
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("id", "level", "parent", "members"))), lambda x: x)
+    return communities.select(*[F.col(c) for c in ("id", "level", "parent", "members")]).agg(F.to_json(rows, {"ignoreNullFields": "false"}).alias("value"))
+
+
+def _versions(spark: SparkSession, path: str) -> tuple[object, list[str]]:
+    """The file system of a cache and its complete versions, oldest first."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return fs, []
+    names = sorted(s.getPath().getName() for s in fs.listStatus(root) if s.isDirectory())
+    done = lambda n: fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))
+    return fs, [n for n in names if n.startswith("v-") and done(n)]
+
+
 def load_cache(spark: SparkSession, path: str) -> DataFrame:
-    """A vector cache; one that is missing or unreadable is empty."""
+    """The newest complete version of a vector cache; one that is missing or unreadable is empty."""
     try:
-        df = spark.read.schema(VECTOR).parquet(path)
+        df = spark.read.schema(VECTOR).parquet(f"{path}/{_versions(spark, path)[1][-1]}")
         df.limit(1).count()
         return df
     except Exception:  # noqa: BLE001
         return spark.createDataFrame([], VECTOR)
 
 
-def save_cache(cache: DataFrame, path: str) -> None:
-    """Write beside and swap, so that readers see the old cache or the new one."""
+def save_cache(cache: DataFrame, path: str, keep: int = 2) -> None:
+    """Writes a new version, which counts once it is complete, and deletes all but the ``keep`` newest. Readers always find a whole cache."""
     spark = cache.sparkSession
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    new, old = f"{path}.new", f"{path}.old"
-    cache.write.mode("overwrite").parquet(new)
-    p = lambda x: jvm.org.apache.hadoop.fs.Path(x)
-    fs = p(path).getFileSystem(conf)
-    fs.delete(p(old), True)
-    if fs.exists(p(path)):
-        fs.rename(p(path), p(old))
-    fs.rename(p(new), p(path))
-    fs.delete(p(old), True)
+    cache.write.parquet(f"{path}/v-{time.time_ns():020d}")
+    fs, names = _versions(spark, path)
+    for n in names[:-keep]:
+        fs.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}"), True)
 
 
 def uploaded_chunks(df: DataFrame, name: str = "name", content: str = "content") -> DataFrame:
