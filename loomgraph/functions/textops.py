@@ -27,8 +27,10 @@ def _nfc(s: pd.Series) -> pd.Series:
 
 
 def nfc(c: Column | str) -> Column:
-    """Canonical composition; Spark has no built-in for it, so use it on distinct names only."""
-    return _nfc(_c(c))
+    """Canonical composition; Spark has no built-in for it. Texts of common characters are composed as they are and stay in the JVM."""
+    x = _c(c)
+    plain = F.coalesce(~x.rlike(r"[^\x00-\x7fçğıöşüəÇĞİÖŞÜƏа-яёА-ЯЁ]"), F.lit(True))
+    return F.when(plain, x).otherwise(_nfc(F.when(~plain, x)))
 
 
 def strip(c: Column | str) -> Column:

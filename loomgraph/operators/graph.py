@@ -75,19 +75,29 @@ def valid_relations(relations: DataFrame, nodes: DataFrame, variant: str = "comm
     return r
 
 
-def aggregate_edges(relations: DataFrame, nodes: DataFrame, variant: str = "community", order: str = "ord") -> DataFrame:
+def aggregate_edges(relations: DataFrame, nodes: DataFrame, variant: str = "community", order: str = "ord", lists: bool = True) -> DataFrame:
     """(``src``, ``tgt``, ``description``, ``strength``, ``weight``, ``source_chunks``, ``ord``) per ordered pair of entities.
 
-    ``strength`` is the largest, ``weight`` the sum over all mentions (null strengths count as 0); 'entity' has no ``weight``.
+    ``strength`` is the largest, ``weight`` the sum over all mentions (null strengths count as 0); 'entity' has no ``weight``. Without ``lists`` there
+    are no descriptions and chunks: one aggregation, for what needs only pairs and weights.
     """
-    r = materialize(valid_relations(relations, nodes, variant), "valid")
+    if not lists:
+        relations = relations.drop("relation", "chunk_id")
+    r = valid_relations(relations, nodes, variant)
+    r = materialize(r, "valid") if lists else r
     pair = ["src", "tgt"]
     s = r.groupBy(*pair).agg(F.coalesce(F.max("strength"), F.lit(0)).alias("strength"), F.coalesce(F.sum("strength"), F.lit(0)).cast("bigint").alias("weight"), F.min(order).alias("ord"))
-    d = ordered_distinct(r, pair, "relation", order, "_d")
-    c = ordered_distinct(r, pair, "chunk_id", order, "source_chunks")
-    none = F.array().cast("array<string>")
-    out = s.join(d, pair, "left").join(c, pair, "left").select(*pair, F.array_join(F.coalesce("_d", none), " | ").alias("description"), "strength", "weight", F.coalesce("source_chunks", none).alias("source_chunks"), "ord")
-    return out if variant == "community" else out.drop("weight")
+    if lists:
+        none = F.array().cast("array<string>")
+        s = s.join(ordered_distinct(r, pair, "relation", order, "_d"), pair, "left").join(ordered_distinct(r, pair, "chunk_id", order, "source_chunks"), pair, "left")
+        s = s.select(*pair, F.array_join(F.coalesce("_d", none), " | ").alias("description"), "strength", "weight", F.coalesce("source_chunks", none).alias("source_chunks"), "ord")
+    return s if variant == "community" else s.drop("weight")
+
+
+def entity_keys(mentions: DataFrame, variant: str = "community") -> DataFrame:
+    """(``key``) of all entities, for what needs no more of them; distinct names are keyed."""
+    names = mentions.filter("name is not null").select("name").distinct()
+    return keyed(names, {"name": "key"}, variant).filter("key <> ''").select("key").distinct()
 
 
 def undirected(edges: DataFrame, src: str = "src", tgt: str = "tgt", weight: str = "weight") -> DataFrame:

@@ -74,7 +74,9 @@ def advance(live: DataFrame | None, pending: DataFrame | None, refs: DataFrame,
     now = events.select("key", F.col("delta").cast("bigint").alias("live"))
     new = found.groupBy("key", *by, F.date_trunc("month", "ts").alias("month")).agg(F.count(F.lit(1)).alias("n"))
     if live is not None:
-        now, new = now.unionByName(live), new.unionByName(pending.drop("open"))
+        now = now.unionByName(live)
+    if pending is not None:
+        new = new.unionByName(pending.drop("open"))
     now = now.groupBy("key").agg(F.sum("live").alias("live"))
     new = new.groupBy("key", *by, "month").agg(F.sum("n").alias("n"))
     new = new.join(now.filter("live > 0"), "key", "left").select("key", *by, "month", "n", F.col("live").isNull().alias("open"))
@@ -97,10 +99,11 @@ def even_bounds(refs: DataFrame, epochs: int, ts: str = "ts") -> list:
     return [lo + (hi - lo) * i / epochs for i in range(1, epochs)] if lo else []
 
 
-def replay(refs: DataFrame, events: DataFrame, by: list[str], ref_cols: list[str], bounds: list, hot: list = ()) -> tuple[DataFrame, DataFrame]:
+def replay(refs: DataFrame, events: DataFrame, by: list[str], ref_cols: list[str], bounds: list, hot: list = (), keep_pending: bool = True) -> tuple[DataFrame, DataFrame | None]:
     """(orphans, pending) after all epochs that ``bounds`` cut: :func:`advance` from one to the next with the state written in between.
 
-    References are written once, apart by epoch, and every epoch reads its own. The result is the same for all ``bounds``.
+    References are written once, apart by epoch, and every epoch reads its own. The result is the same for all ``bounds``. Without
+    ``keep_pending`` only the live parents are carried, which is all that later epochs need to find their orphans.
     """
     refs = materialize(refs.withColumn("_epoch", epoch_of(F.col("ts"), bounds)), "references", ("_epoch",))
     events = materialize(events.withColumn("_epoch", epoch_of(F.col("ts"), bounds)), "events", ("_epoch",))
@@ -109,7 +112,11 @@ def replay(refs: DataFrame, events: DataFrame, by: list[str], ref_cols: list[str
         at = F.col("_epoch") == i
         live, pending, new = advance(live, pending, refs.filter(at).drop("_epoch"), events.filter(at).drop("_epoch"), by, ref_cols, hot)
         if i < len(bounds):
-            live, pending = materialize(live, "live"), materialize(pending, "pending")
+            live = materialize(live, "live")
+            if keep_pending:
+                pending = materialize(pending, "pending")
+        if not keep_pending:
+            pending = None
         found = new if found is None else found.unionByName(new)
     return found, pending
 

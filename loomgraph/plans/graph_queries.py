@@ -44,14 +44,20 @@ def edge_directed_first(spark: SparkSession, d: str) -> DataFrame:
     return _edges(spark, d, "entity").select("src", "tgt", F.md5("description").alias("description_md5"), F.col("strength").cast("bigint").alias("strength"), F.array_join("source_chunks", ",").alias("source_chunks"))
 
 
+def _pairs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Keys of all entities, and pairs with their weights."""
+    keys = materialize(G.entity_keys(mentions(spark, d)), "keys")
+    return keys, materialize(G.aggregate_edges(relations(spark, d), keys, lists=False), "pairs")
+
+
 def edge_undirected(spark: SparkSession, d: str) -> DataFrame:
     """Both directions summed."""
-    return G.undirected(_edges(spark, d, "community")).select("u", "v", F.col("weight").cast("bigint").alias("weight"))
+    return G.undirected(_pairs(spark, d)[1]).select("u", "v", F.col("weight").cast("bigint").alias("weight"))
 
 
 def degree_all(spark: SparkSession, d: str) -> DataFrame:
     """Degree of every entity that has relations."""
-    return G.degrees(_edges(spark, d, "community"))
+    return G.degrees(_pairs(spark, d)[1])
 
 
 def degree_top(spark: SparkSession, d: str) -> DataFrame:
@@ -61,8 +67,8 @@ def degree_top(spark: SparkSession, d: str) -> DataFrame:
 
 def graph_components(spark: SparkSession, d: str) -> DataFrame:
     """Connected component of every entity."""
-    nodes = materialize(G.resolve_entities(mentions(spark, d)), "nodes")
-    return G.components(nodes, G.undirected(G.aggregate_edges(relations(spark, d), nodes)), materialize)
+    keys, edges = _pairs(spark, d)
+    return G.components(keys, G.undirected(edges), materialize)
 
 
 def comm_current(spark: SparkSession, d: str) -> DataFrame:
@@ -99,19 +105,22 @@ def _graph_members(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, D
 
 def comm_member_rank(spark: SparkSession, d: str) -> DataFrame:
     """Members by degree."""
-    m, _, e = _graph_members(spark, d)
+    keys, e = _pairs(spark, d)
+    m = members(spark, d).join(keys, "key", "left_semi")
     return X.member_ranks(m, e).withColumn("rank", F.col("rank").cast("bigint"))
 
 
 def comm_internal_edges(spark: SparkSession, d: str) -> DataFrame:
     """Relations inside a community."""
-    m, _, e = _graph_members(spark, d)
+    keys, e = _pairs(spark, d)
+    m = members(spark, d).join(keys, "key", "left_semi")
     return X.internal_edges(m, e).select("community", "src", "tgt", F.col("rank").cast("bigint").alias("rank"))
 
 
 def comm_articles(spark: SparkSession, d: str) -> DataFrame:
     """Articles that a community's members come from."""
-    m, n, _ = _graph_members(spark, d)
+    n = materialize(G.resolve_entities(mentions(spark, d)), "nodes")
+    m = members(spark, d).join(n.select("key"), "key", "left_semi")
     return X.community_articles(m, n).select("community", F.array_join("articles", ", ").alias("articles"))
 
 
@@ -128,7 +137,7 @@ def comm_reports(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _louvain(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    _, nodes, edges = _graph_members(spark, d)
+    nodes, edges = _pairs(spark, d)
     pairs = materialize(G.undirected(edges), "pairs")
     return nodes, pairs, materialize(M.hierarchy(nodes.select("key"), pairs), "communities")
 

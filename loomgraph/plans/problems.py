@@ -71,24 +71,24 @@ def _endpoints(spark: SparkSession, d: str) -> DataFrame:
     return ends.filter(F.col("name").rlike(r"[^\s\p{Z}]"))
 
 
-def _orphans(spark: SparkSession, d: str, epochs: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _orphans(spark: SparkSession, d: str, epochs: int, keep_pending: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(references, orphans, pending). Distinct names are keyed, at most 1/share of them are hot; their counts tell which keys are."""
     ends = _endpoints(spark, d)
     names = materialize(with_visual_key(ends.groupBy("name").agg(F.count(F.lit(1)).alias("n")), "name", "key"), "names")
     refs = split_join(ends, names.select("name", "key"), "name", hot_keys(names, "name")).select("key", "ts", "rel_id", "side")
     hot = hot_keys(names.groupBy("key").agg(F.sum("n").alias("n")), "key")
     events = parent_events(with_visual_key(registry(spark, d), "name", "key"), "key", "registered_at", "deleted_at")
-    return ends, *replay(refs, events, ["side"], ["rel_id", "side"], even_bounds(ends, epochs), hot)
+    return ends, *replay(refs, events, ["side"], ["rel_id", "side"], even_bounds(ends, epochs), hot, keep_pending)
 
 
 def p5_found(spark: SparkSession, d: str, epochs: int = EPOCHS) -> DataFrame:
     """(``rel_id``, ``side``): endpoints whose name no registry row has at ``extracted_at``."""
-    return _orphans(spark, d, epochs)[1].select("rel_id", "side")
+    return _orphans(spark, d, epochs, False)[1].select("rel_id", "side")
 
 
 def p5_by_month(spark: SparkSession, d: str, epochs: int = EPOCHS) -> DataFrame:
     """Per field and month of ``extracted_at``: references, orphans, and orphans whose name the registry does not have in the end."""
-    ends, _, pending = _orphans(spark, d, epochs)
+    ends, _, pending = _orphans(spark, d, epochs, True)
     return snapshot(ends, pending, ["side"])
 
 

@@ -46,13 +46,13 @@ def vec_seed_by_label(spark: SparkSession, d: str) -> DataFrame:
 
 def bm25_stats(spark: SparkSession, d: str) -> DataFrame:
     """Number and mean length of the documents."""
-    return S.corpus_stats(table(spark, d, "documents")).select(F.col("n").cast("bigint").alias("n"), F.round("avgdl", 6).alias("avgdl"))
+    return S.vocabulary(table(spark, d, "documents"))[1].select(F.col("n").cast("bigint").alias("n"), F.round("avgdl", 6).alias("avgdl"))
 
 
 def bm25_idf(spark: SparkSession, d: str) -> DataFrame:
     """Document frequency and weight of every word of the chunks."""
     c = chunks(spark, d)
-    return S.idf(S.postings(c), S.corpus_stats(c)).select("term", F.col("df").cast("bigint").alias("df"), F.round("idf", 6).alias("idf"))
+    return S.vocabulary(c)[0].select("term", F.col("df").cast("bigint").alias("df"), F.round("idf", 6).alias("idf"))
 
 
 def bm25_scores(spark: SparkSession, d: str) -> DataFrame:
