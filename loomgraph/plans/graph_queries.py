@@ -291,7 +291,11 @@ _FULL = {v: f"{sql_graph(v)}, {SQL_CHUNKS}, {SQL_ITEMS}, {_VALID}" for v in ("co
 _HIT = "SELECT query_id, id, score, graph_rank, cosine_rank, rank FROM hit"
 _ENTS = "ents AS (SELECT DISTINCT query_id, key FROM (SELECT query_id, key FROM seed UNION ALL SELECT query_id, src FROM eseed UNION ALL SELECT query_id, tgt FROM eseed))"
 _RELS = "rels AS (SELECT DISTINCT query_id, src, tgt FROM (SELECT query_id, src, tgt FROM near UNION ALL SELECT query_id, src, tgt FROM eseed))"
+_ROUNDS = 25  # more than any shortest path of the graph is long
+_LABELS = ", ".join(f"l{i + 1} AS MATERIALIZED (SELECT a.key, least(any_value(a.c), coalesce(min(b.c), any_value(a.c))) AS c FROM l{i} a LEFT JOIN both_ways w ON w.key = a.key LEFT JOIN l{i} b ON b.key = w.other GROUP BY a.key)" for i in range(_ROUNDS))
 SQL = {
+    "graph_components": f"""WITH {sql_graph(vectors=False)}, both_ways AS MATERIALIZED (SELECT src AS key, tgt AS other FROM edge UNION SELECT tgt, src FROM edge), l0 AS (SELECT key, key AS c FROM node), {_LABELS}
+SELECT key, c AS component FROM l{_ROUNDS}""",
     "ent_nodes": f"WITH {_G} {_NODES}",
     "ent_nodes_first": f"WITH {_GE} {_NODES}",
     "edge_directed": f"WITH {_G} SELECT src, tgt, md5(description) AS description_md5, CAST(strength AS BIGINT) AS strength, weight, array_to_string(source_chunks, ',') AS source_chunks, ord FROM edge",
