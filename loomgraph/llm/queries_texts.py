@@ -20,6 +20,20 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return p6_pieces(spark, d).filter("piece = 2").select("id")
 
 
+def p6_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """(``id``, ``cut``, ``rebuilt_md5``, ``within``, ``repeats``): whether each text was cut, the MD5 of its new parts put together, and what must hold of its pieces."""
+    p = p6_pieces(spark, d)
+    one = F.array_sort(F.collect_list(F.struct("piece", "fresh", "piece_text")))
+    g = p.groupBy("id").agg(one.alias("a"), F.max("n_pieces").alias("n"))
+    new = F.array_join(F.transform("a", lambda x: F.right(x["piece_text"], x["fresh"])), "")
+    overlap = splitting.OVERLAP
+    # a piece begins with the last characters of the text before its new part
+    shown = F.transform(F.slice("a", 2, F.size("a")), lambda x: F.substr(x["piece_text"], F.lit(1), F.lit(overlap)))
+    ends = F.transform("a", lambda x: F.right(x["piece_text"], F.lit(overlap)))
+    same = F.forall(F.zip_with(shown, F.slice(ends, 1, F.greatest(F.size("a") - 1, F.lit(0))), lambda x, y: x == y), lambda x: x)
+    return g.select("id", (F.col("n") > 1).alias("cut"), F.md5(new).alias("rebuilt_md5"), F.forall("a", lambda x: F.length(x["piece_text"]) <= splitting.LIMIT).alias("within"), same.alias("repeats"))
+
+
 def p7_containers(spark: SparkSession, d: str) -> DataFrame:
     """Every document, or part of one over 2,048 tokens, with its container."""
     return packing.pack(packing.token_sizes(table(spark, d, "documents")))
@@ -75,12 +89,13 @@ def p9_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return encoding.repair(texts, "ord").select("ord", "text")
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p6_pieces, p7_containers, p7_invariants, p8_found, p8_leaks, p9_found, p9_restored, p9_round_trip)}
+QUERIES = {f.__name__: f for f in (p6_found, p6_invariants, p6_pieces, p7_containers, p7_invariants, p8_found, p8_leaks, p9_found, p9_restored, p9_round_trip)}
 
 _WORDS = "regexp_extract_all(lower(translate({}, 'İIı', 'iii')), '[\\p{{L}}\\p{{N}}]+')"
 SQL = {
     "p9_round_trip": "SELECT ord, text FROM embeddings_checkpoint",
     "p6_found": "SELECT id FROM (SELECT id, arg_max(text, ord) AS text FROM embeddings_checkpoint GROUP BY id) WHERE length(text) > 1500",
+    "p6_invariants": "SELECT id, length(text) > 1500 AS cut, md5(text) AS rebuilt_md5, true AS within, true AS repeats FROM (SELECT id, arg_max(text, ord) AS text FROM embeddings_checkpoint GROUP BY id) WHERE text IS NOT NULL",
     "p7_invariants": "SELECT count(text) AS documents, true AS every_part_once, true AS no_window_over, true AS no_container_over, true AS at_least_99_percent_full, true AS groups_within_2_percent FROM documents",
     "p8_found": f"""WITH t AS (SELECT id AS item_id, question AS x FROM gruth_dataset UNION ALL SELECT id, unnest(expected_behavior.expected_response_elements) FROM gruth_dataset),
 iw AS (SELECT item_id, {_WORDS.format('x')} AS w FROM t), ig AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 11], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS i FROM iw)),
