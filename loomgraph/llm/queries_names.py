@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.functions import sqltext
+from loomgraph.functions import sqltext, visual
 from loomgraph.llm import lookalikes, records
 from loomgraph.plans.problems import registry
 from loomgraph.session import table
@@ -60,6 +60,16 @@ def _plain(x: str) -> str:
     return f"regexp_replace({sqltext.folded(x)}, '[ \\t\\r\\n\\p{{P}}\\p{{S}}]+', '', 'g')"
 
 
+def _tidy(x: str) -> str:
+    """The normalised text, in SQL, for the characters that names have."""
+    wide = {chr(c + 0xFEE0): chr(c) for c in range(0x21, 0x7F)}
+    q = lambda t: "'" + "".join(t).replace("'", "''") + "'"
+    bare = f"nfc_normalize(translate(regexp_replace({x}, '[{visual.INVISIBLE}]+', '', 'g'), {q(wide)}, {q(wide.values())}))"
+    words = f"string_split(trim(regexp_replace({bare}, '[\\s\\p{{Z}}]+', ' ', 'g')), ' ')"
+    mixed = f"CASE WHEN regexp_matches(w, '[A-Za-zÀ-ɏ]') THEN nfc_normalize(translate(w, {q(visual.LOOKALIKES)}, {q(visual.LOOKALIKES.values())})) ELSE w END"
+    return f"array_to_string(list_transform({words}, lambda w: {mixed}), ' ')"
+
+
 _VALUES = """SELECT 'entity_mention' AS table_name, mention_id AS row_id, 'name' AS field, name AS value FROM entity_mention
 UNION ALL SELECT 'relation_mention', rel_id, 'source', source FROM relation_mention UNION ALL SELECT 'relation_mention', rel_id, 'target', target FROM relation_mention"""
 _LINES = """SELECT line_id AS id, line ->> '$.source' AS source, line ->> '$.target' AS target, line ->> '$.relation' AS relation FROM (SELECT line_id, CASE WHEN json_valid(line) THEN line END AS line FROM relation_line) WHERE line IS NOT NULL"""
@@ -71,6 +81,11 @@ SQL = {
 r AS (SELECT {sqltext.visual_key('name')} AS key, {_plain('name')} AS plain FROM (SELECT name FROM graph_node UNION SELECT name FROM core_node)),
 f AS (SELECT value FROM d WHERE key <> '' AND key IN (SELECT key FROM r) AND NOT EXISTS (SELECT 1 FROM r WHERE r.key = d.key AND r.plain = d.plain))
 SELECT table_name, row_id, field FROM v WHERE value IN (SELECT value FROM f)""",
+    "p1_forms": f"""WITH v AS ({_VALUES}), d AS (SELECT value, {sqltext.visual_key('value')} AS key, {_plain('value')} AS plain, {_tidy('value')} AS tidy FROM (SELECT DISTINCT value FROM v WHERE value IS NOT NULL)),
+r AS (SELECT key, plain, min(name) AS known FROM (SELECT name, {sqltext.visual_key('name')} AS key, {_plain('name')} AS plain FROM (SELECT name FROM graph_node UNION SELECT name FROM core_node) WHERE name IS NOT NULL) WHERE key <> '' GROUP BY ALL),
+k AS (SELECT key, min(known) AS look FROM r GROUP BY key),
+f AS (SELECT value, coalesce(known, look, tidy) AS form FROM d LEFT JOIN k USING (key) LEFT JOIN r USING (key, plain))
+SELECT table_name, row_id, field, form FROM v LEFT JOIN f USING (value)""",
     "p2_found": f"{_RECORDS} SELECT table_name, first_id, id AS copy_id FROM same WHERE id <> first_id",
     "p2_records": f"{_RECORDS} SELECT table_name, first_id, arg_min(source, id) AS source, arg_min(target, id) AS target, arg_min(relation, id) AS relation, CAST(count(*) AS BIGINT) AS copies, CAST(count(DISTINCT (source, target, relation)) AS BIGINT) AS spellings FROM same GROUP BY table_name, first_id",
 }
