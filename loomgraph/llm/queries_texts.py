@@ -104,7 +104,7 @@ SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)""",
     # a word's place is the sum of the lengths of all words and gaps before it
     "p8_leaks": f"""WITH t AS (SELECT id AS item_id, question AS x FROM gruth_dataset UNION ALL SELECT id, unnest(expected_behavior.expected_response_elements) FROM gruth_dataset),
 iw AS (SELECT item_id, {_WORDS.format('x')} AS w FROM t), ig AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 11], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS i FROM iw)),
-d AS (SELECT doc_id, regexp_extract_all(text, '[\p{{L}}\p{{N}}]+') AS w, regexp_extract_all(text, '[^\p{{L}}\p{{N}}]+') AS s, regexp_matches(text, '^[^\p{{L}}\p{{N}}]') AS led FROM documents),
+d AS (SELECT doc_id, regexp_extract_all(text, '[\\p{{L}}\\p{{N}}]+') AS w, regexp_extract_all(text, '[^\\p{{L}}\\p{{N}}]+') AS s, regexp_matches(text, '^[^\\p{{L}}\\p{{N}}]') AS led FROM documents),
 dw AS (SELECT doc_id, i, length(word) AS n, sum(length(word) + coalesce(length(gap), 0)) OVER (PARTITION BY doc_id ORDER BY i) AS e FROM (
   SELECT doc_id, i, w[i] AS word, CASE WHEN led THEN s[i] WHEN i > 1 THEN s[i - 1] END AS gap FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM d))),
 dg AS (SELECT doc_id, i, array_to_string(f[i:i + 11], ' ') AS g FROM (SELECT doc_id, f, unnest(range(1, len(f) - 10)) AS i FROM (SELECT doc_id, list_transform(w, lambda x: lower(translate(x, 'İIı', 'iii'))) AS f FROM d))),
