@@ -32,6 +32,16 @@ def keyed(df: DataFrame, columns: dict[str, str], variant: str) -> DataFrame:
     return df.withColumns({out: key_of(c, variant) for c, out in columns.items()})
 
 
+def keyed_by_names(df: DataFrame, columns: dict[str, str], variant: str) -> DataFrame:
+    """:func:`keyed` for rows without null names, of which many share theirs: distinct names are keyed, hot ones meet a broadcast."""
+    names = df.select(F.explode(F.array(*columns)).alias("_name")).groupBy("_name").agg(F.count(F.lit(1)).alias("n"))
+    names = materialize(names.withColumn("_key", key_of("_name", variant)), "names")
+    hot = hot_keys(names, "_name")
+    for c, out in columns.items():
+        df = split_join(df, names.select(F.col("_name").alias(c), F.col("_key").alias(out)), c, hot)
+    return df
+
+
 def ordered_distinct(df: DataFrame, keys: list[str], value: str, order: str, out: str) -> DataFrame:
     """Per ``keys`` the distinct values in order of first sight, as an array. Values are made distinct before they are collected."""
     first = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.min(order).alias("_o"))
@@ -65,7 +75,7 @@ def resolve_entities(mentions: DataFrame, variant: str = "community", order: str
 
 def valid_relations(relations: DataFrame, nodes: DataFrame, variant: str = "community") -> DataFrame:
     """``relations`` with ``src`` and ``tgt`` keys, those whose two ends are entities; self relations only in the 'entity' variant."""
-    r = keyed(relations.filter("source is not null and target is not null"), {"source": "src", "target": "tgt"}, variant)
+    r = keyed_by_names(relations.filter("source is not null and target is not null"), {"source": "src", "target": "tgt"}, variant)
     if variant == "community":
         r = r.filter("src <> tgt")
     r = materialize(r, "relations")
