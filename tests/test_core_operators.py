@@ -212,3 +212,34 @@ def test_large_and_small_parents_give_the_same_communities(spark):
     got = [sorted(tuple(x) for x in M.partition(nodes, edges, finish).collect()) for finish in (M.FINISH, 100, 0)]
     assert got[0] == got[1] == got[2]
     assert {p for _, _, p in got[0]} == {"a0", "b0", "c0", "d0", "x"}
+
+
+def test_small_parents_are_split_to_the_last_part_in_one_task(spark, monkeypatch):
+    name = lambda i: "n" + format(i, "05b")
+    pairs = [(name(i), name(j), 4 ** (5 - (i ^ j).bit_length())) for j in range(32) for i in range(j)]
+    nodes = spark.createDataFrame([(name(i),) for i in range(32)] + [("alone",)], "key string")
+    written, materialize = [], M.materialize
+    monkeypatch.setattr(M, "materialize", lambda df, name, *a: written.append(name) or materialize(df, name, *a))
+    got = M.hierarchy(nodes, spark.createDataFrame(pairs, "u string, v string, weight bigint"), max_size=1).orderBy("id").collect()
+    assert max(x.level for x in got) >= 2 and len(written) <= 6, written
+    by = {x.id: x for x in got}
+    assert [x.id for x in got] == list(range(len(got))) and got[0].members == ["alone"]
+    for x in got:
+        kids = [y for y in got if y.parent == x.id]
+        assert not kids or sorted(k for y in kids for k in y.members) == x.members and {y.level for y in kids} == {x.level + 1}
+        assert x.parent is None or x.parent < x.id and set(x.members) < set(by[x.parent].members)
+
+
+@pytest.mark.parametrize("finish,rounds", [(0, 99), (M.FINISH, 4)])
+def test_packed_moving_with_large_nodes_leaves_no_gain(spark, monkeypatch, finish, rounds):
+    pairs = _planted(5) + [("hub", f"g{g}n{i:02}", 1.0) for g in range(4) for i in range(8)] + [("hub", "hub", 2.0)]
+    monkeypatch.setattr(M, "BLOCK", 20)  # the hub's edges lie in several blocks
+    written, materialize = [], M.materialize
+    monkeypatch.setattr(M, "materialize", lambda df, name, *a: written.append(name) or materialize(df, name, *a))
+    com = {x.key: x.com for x in M._move(spark.createDataFrame([("p", *x) for x in pairs] + [("q", "a", "b", 1.0)], "parent string, u string, v string, w double"), finish).collect()}
+    assert written.count("moves") <= rounds and com.pop("a") == com.pop("b")
+    at, near = _modularity(pairs, com), defaultdict(set)
+    for u, v, _ in pairs:
+        near[u].add(com[v])
+        near[v].add(com[u])
+    assert max(_modularity(pairs, {**com, x: c}) for x in com for c in near[x]) <= at + 1e-12
