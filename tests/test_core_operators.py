@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomgraph.operators import community as M
+from loomgraph.operators import graph as G
 from loomgraph.operators import hierarchy as H
 from loomgraph.operators import orphans as O
 from loomgraph.operators import perkey
@@ -243,3 +244,67 @@ def test_packed_moving_with_large_nodes_leaves_no_gain(spark, monkeypatch, finis
         near[u].add(com[v])
         near[v].add(com[u])
     assert max(_modularity(pairs, {**com, x: c}) for x in com for c in near[x]) <= at + 1e-12
+
+
+def test_only_distinct_names_are_keyed(spark):
+    m = spark.createDataFrame([(x,) for x in ["İki  ad", "ıki ad", " ", None, "bir"] * 50], "name string")
+    got = G.entity_keys(m)
+    assert sorted(x.key for x in got.collect()) == ["bir", "iki ad", "ıki ad"]
+    assert spark.read.parquet(*got.inputFiles()).count() == 4
+
+
+@pytest.mark.parametrize("variant", G.VARIANTS)
+def test_entity_pairs_are_the_undirected_edges_by_number(spark, variant):
+    r = random.Random(7)
+    forms = lambda i: r.choice([f"Ad {i}", f"  ad {i} ", f"AD {i}", f"äd {i}"])
+    ment = [(r.choice([forms(i % 30), None, " "]), "t", "d", "c", i) for i in range(300)]
+    rels = [(r.choice([forms(0), forms(r.randrange(40)), None, ""]), r.choice([forms(0), forms(r.randrange(40)), None]), "r", "c", r.choice([None, 1, 3]), i) for i in range(3000)]
+    m = spark.createDataFrame(ment, "name string, type string, description string, chunk_id string, ord long").repartition(3)
+    rel = spark.createDataFrame(rels, "source string, target string, relation string, chunk_id string, strength int, ord long").repartition(3)
+    keys, pairs = G.entity_pairs(m, rel, variant)
+    name = {x.id: x.key for x in keys.collect()}
+    nodes = G.entity_keys(m, variant)
+    assert [name[i] for i in range(len(name))] == sorted(x.key for x in nodes.collect())
+    ends = G.keyed(rel.filter("source is not null and target is not null"), {"source": "src", "target": "tgt"}, variant)
+    want = defaultdict(int)
+    for x in ends.collect():
+        if x.src in name.values() and x.tgt in name.values() and (variant == "entity" or x.src != x.tgt):
+            want[min(x.src, x.tgt), max(x.src, x.tgt)] += x.strength or 0
+    got = pairs.collect()
+    assert len(got) == len(want) > 100 and all(x.u <= x.v for x in got)
+    assert {(name[x.u], name[x.v]): x.weight for x in got} == want
+    if variant == "community":
+        assert {(x.u, x.v): x.weight for x in G.undirected(G.aggregate_edges(rel, nodes, lists=False)).collect()} == want
+
+
+def test_small_parents_are_spread_over_tasks(spark, monkeypatch, tmp_path):
+    pairs = [(f"{c}{i}", f"{c}{j}", 5) for c in "abcdefgh" for i in range(8) for j in range(i)] + [(f"{c}0", f"{d}0", 1) for c, d in zip("abcdefg", "bcdefgh")]
+    nodes = spark.createDataFrame(sorted({(k,) for u, v, _ in pairs for k in (u, v)}), "key string")
+    at, descended = str(tmp_path), M._descended
+
+    def noted(pdf, max_size):
+        from pyspark import TaskContext
+
+        open(f"{at}/{TaskContext.get().partitionId()}", "w").close()
+        return descended(pdf, max_size)
+
+    monkeypatch.setattr(M, "_descended", noted)
+    got = M.hierarchy(nodes, spark.createDataFrame([(min(u, v), max(u, v), w) for u, v, w in pairs], "u string, v string, weight bigint"), max_size=4, finish=100).collect()
+    assert {frozenset(x.members) for x in got if x.level == 0} == {frozenset(f"{c}{i}" for i in range(8)) for c in "abcdefgh"}
+    assert len(list(tmp_path.iterdir())) > 1
+
+
+def test_broken_communities_are_found(spark):
+    from loomgraph.plans.graph_queries import violations
+
+    nodes = spark.createDataFrame([(k, i) for i, k in enumerate("abcdef")], "key string, id bigint")
+    pairs = spark.createDataFrame([(0, 1, 2), (1, 2, 2), (0, 2, 2), (3, 4, 2), (4, 5, 2), (3, 5, 2), (2, 3, 1)], "u bigint, v bigint, weight bigint")
+    good = [(0, 0, None, ["a", "b", "c"]), (1, 1, 0, ["a"]), (2, 1, 0, ["b", "c"]), (3, 0, None, ["d", "e", "f"])]
+    found = lambda rows: sorted(tuple(x) for x in violations(nodes, pairs, spark.createDataFrame(rows, "id bigint, level int, parent bigint, members array<string>")).collect())
+    assert found(good) == []
+    assert found([*good[:2], (2, 1, 0, ["b"]), good[3]]) == [("children", "c"), ("node not in one leaf", "c")]
+    twice = found([*good[:2], (2, 1, 0, ["b", "b", "c", "f"]), good[3]])
+    assert [x for x in twice if x[0] != "modularity"] == [("children", "b"), ("children", "f"), ("node not in one leaf", "b"), ("node not in one leaf", "f")]
+    assert found([*good[:2], (2, 2, 0, ["b", "c"]), good[3]]) == [("level", "2")]
+    bad = found([(0, 0, None, ["a", "d"]), (1, 0, None, ["b", "e"]), (2, 0, None, ["c", "f"])])
+    assert len(bad) == 1 and bad[0][0] == "modularity" and float(bad[0][1]) < 0
