@@ -4,6 +4,8 @@ import random
 from collections import Counter, defaultdict
 from datetime import datetime, timedelta
 
+import numpy as np
+import pandas as pd
 import pytest
 
 from pyspark.sql import functions as F
@@ -205,6 +207,41 @@ def test_distributed_moving_leaves_no_gain(spark):
     assert max(_modularity(pairs, {**com, x: c}) for x in com for c in near[x]) <= at + 1e-12
 
 
+def test_moving_takes_few_rounds_and_releases_what_they_leave(spark, monkeypatch):
+    pairs = _planted(5, groups=12, size=20, inside=0.2, across=300)
+    edges = spark.createDataFrame([(0, int(u[1:].replace("n", "")), int(v[1:].replace("n", "")), w) for u, v, w in pairs], "parent bigint, u bigint, v bigint, w double")
+    rounds, freed = [], []
+    real = M.materialize
+    monkeypatch.setattr(M, "materialize", lambda df, name: rounds.append(name) or real(df, name))
+    monkeypatch.setattr(M, "release", lambda spark: freed.append(len(rounds)))
+    monkeypatch.setattr(M, "RELEASE", 2)
+    label = {f"g{x.key // 100}n{x.key % 100:02}": x.com for x in M._move(edges, 400).collect()}
+    n = rounds.count("moves")
+    assert len(freed) == (n - 1) // 2, (n, freed)
+    at = _modularity(pairs, label)
+    near = defaultdict(set)
+    for u, v, _ in pairs:
+        near[u].add(label[v])
+        near[v].add(label[u])
+    assert max(_modularity(pairs, {**label, x: c}) for x in label for c in near[x]) <= at + 1e-12
+
+
+def test_judging_does_not_depend_on_the_order_of_rows():
+    r = np.random.RandomState(1)
+    rows = []
+    for block in range(4):
+        other, c = r.randint(0, 30, 60), r.randint(0, 12, 60)
+        order = np.lexsort((c, other))
+        own = np.arange(block * 8, block * 8 + 8)
+        rows.append((0, block, *map(M._shut, (other[order], c[order], r.rand(60), np.full(60, 0.01), own, own % 12, np.arange(12), r.rand(12)))))
+    pdf = pd.DataFrame(rows, columns=[x.split()[0] for x in M._SENT.split(", ")])
+    assert M._judged(pdf, 3).equals(M._judged(pdf[::-1], 3))
+    for most in (1 << 20, 1 << 40):  # beyond 31 bits by two keys
+        a, b = r.randint(0, most, 500), r.randint(0, most, 500)
+        a[250:], b[250:] = a[:250], b[:250]
+        assert M._in_order(a, b).tolist() == np.lexsort((b, a)).tolist()
+
+
 def test_large_and_small_parents_give_the_same_communities(spark):
     pairs = [(f"{c}{i}", f"{c}{j}", 5.0) for c in "abcd" for i in range(8) for j in range(i)] + [("a0", "b0", 1.0), ("b1", "c1", 1.0), ("c2", "d2", 1.0)]
     rows = [("", min(u, v), max(u, v), w) for u, v, w in pairs] + [("small", "x", "y", 1.0)]
