@@ -242,6 +242,21 @@ def test_judging_does_not_depend_on_the_order_of_rows():
         assert M._in_order(a, b).tolist() == np.lexsort((b, a)).tolist()
 
 
+def test_final_communities_gain_nothing_by_joining():
+    """Final communities: no two gain by joining."""
+    r = np.random.RandomState(2)
+    n, w = 60, r.randint(1, 9, 400).astype(float)
+    u, v = np.sort(r.randint(0, n, (400, 2)), axis=1).T
+    label, total = M.louvain(u, v, w, n), w.sum()
+    k = np.bincount(u, weights=w, minlength=n) + np.bincount(v, weights=w, minlength=n)
+    # between whole communities nothing is gained any more
+    k_c, between = np.bincount(label, weights=k), Counter()
+    for a, b, x in zip(label[u], label[v], w):
+        if a != b:
+            between[min(a, b), max(a, b)] += x
+    assert len(k_c) < n and all(x - k_c[a] * k_c[b] / (2 * total) <= 1e-9 for (a, b), x in between.items())
+
+
 def test_large_and_small_parents_give_the_same_communities(spark):
     pairs = [(f"{c}{i}", f"{c}{j}", 5.0) for c in "abcd" for i in range(8) for j in range(i)] + [("a0", "b0", 1.0), ("b1", "c1", 1.0), ("c2", "d2", 1.0)]
     rows = [("", min(u, v), max(u, v), w) for u, v, w in pairs] + [("small", "x", "y", 1.0)]
